@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.llm import canonical, distinctive, frequency, leakage, packing
+from lexigrove.llm import canonical, distinctive, frequency, leakage, packing, reading, scans
 from lexigrove.plans.oracles import normalized, token_list
 from lexigrove.sources.tables import table
 
@@ -20,14 +20,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_classes": lambda s, d: canonical.look_alike_classes(docs(s, d)),
         "p4_found": lambda s, d: frequency.marked_terms(docs(s, d)).where("mark IS NOT NULL").select("token", "mark"),
         "p4_terms": lambda s, d: frequency.marked_terms(docs(s, d)),
+        "p5_found": lambda s, d: scans.cases(_repaired(s, d)),
+        "p5_repaired": lambda s, d: _repaired(s, d).select("doc_id", "text"),
         "p6_found": lambda s, d: distinctive.Scores(docs(s, d)).most_weighted(),
         "p6_scores": lambda s, d: distinctive.distinctive_terms(docs(s, d)),
         "p8_packing": lambda s, d: packing.pack_documents(docs(s, d), table(s, d, "containers")),
         "p9_found": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id"),
         "p9_passages": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")),
+        "p10_found": lambda s, d: _bands(s, d).where(F.col("english") & F.col("band").isin(1, reading.BANDS)).select("doc_id", "band"),
+        "p10_bands": _bands,
     }
 
 
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    return reading.reading_bands(table(s, d, "documents").select("doc_id", "text", "lang"), table(s, d, "reading_labels"))
+
+
+def _repaired(s: SparkSession, d: str) -> DataFrame:
+    return scans.repair_scans(table(s, d, "documents").select("doc_id", "text", "title", "venue"))
+
+
 _OCC = f"occ AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({token_list('text')}) AS token FROM documents) GROUP BY ALL)"
 _TERMS = f"""WITH {_OCC} SELECT token, CAST(sum(tf) AS BIGINT) AS occurrences, count(*) AS documents,
     CASE WHEN count(*) < 3 THEN 'rare' WHEN count(*) * 20 >= (SELECT count(*) FROM documents) THEN 'common' END AS mark FROM occ GROUP BY token"""
