@@ -13,7 +13,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log1p
+from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,9 @@ SAMPLE_DOCS = 400
 SAMPLE_WORDS = 4_000
 #: A word in this share of the documents or more is known without a look-up; such words are a bounded table.
 HEAD_SHARE = 0.001
-#: A word is suspicious in at most so many documents.
-RARE_DF = 3
+#: A word is suspicious where at least this share of its occurrences is in page scans, and a candidate is so many times as frequent.
+SCAN_SHARE = 0.5
+TIMES = 2
 GRAM = 5
 
 _UNFOLD = str.maketrans({"d": "cl", "m": "rn", "u": "ii", "w": "vv"})
@@ -91,7 +92,7 @@ def _prefix_share(core: str, whole: str) -> float:
     return same / len(a)
 
 
-LINE_FEATURES = 16
+LINE_FEATURES = 18
 
 
 def line_features(lines: list[str], title: str | None, venue: str | None) -> np.ndarray:
@@ -130,6 +131,8 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
             core != s,
             bool(_SENTENCE_END.search(s)),
             s.count("  "),
+            sum(c.isdigit() for c in s) / len(s),
+            core.count(" ") + 1,
         )
     return out
 
@@ -200,37 +203,35 @@ def simulate(text: str, title: str, venue: str, rng: random.Random) -> tuple[lis
                 line = f"{line} {w}" if line.strip() else line + w
         if line.strip():
             lines.append(line)
-        if rng.random() < 0.15:
-            lines.append(rng.choice(("", "2. Methods", "RESULTS", "12.3  4.5  6.7", f"{rng.randint(1, 99)}.")))
-    out, kind, numbers = [], [], rng.random() < 0.8 and "{n}" not in head_style
-    ff = rng.random() < 0.4
-    both = rng.random() < 0.7
+        u = rng.random()
+        if u < 0.2:
+            lines += [""] * rng.randint(0, 1) + [rng.choice(("Methods", f"{rng.randint(1, 9)}. {rng.choice(('Methods', 'Results', 'Limits', 'Discussion', 'Setting'))}", "RESULTS", "RESULTS AND LIMITS"))]
+        elif u < 0.3:
+            cols = rng.randint(2, 5)
+            lines += ["  ".join(f"{rng.uniform(0, 99):.1f}" for _ in range(cols)) for _ in range(rng.randint(2, 6))]
+    numbers = rng.random() < 0.85 and "{n}" not in head_style
+    ff, both, pad = rng.random() < 0.4, rng.random() < 0.7, rng.choice(("", "", "  "))
+    head_top, number_top, head_first = rng.random() < 0.6, rng.random() < 0.35, rng.random() < 0.5
+    out: list[str] = []
+    kind: list[int] = []
     for p in range(0, len(lines), per):
-        mark = "\f" if ff and p else ""
-        if heads and (p or rng.random() < 0.5):
+        head, number = [], []
+        if heads and rng.random() < 0.85:
             h = heads[(p // per) % len(heads)] if both else heads[0]
             h = head_style.format(h=h, n=n)
-            if rng.random() < 0.15:
-                h = misread(h, rng)
-            out.append(mark + h)
-            kind.append(1)
-        elif mark:
-            lines[p] = mark + lines[p]
-        for x in lines[p : p + per]:
-            out.append(x)
-            kind.append(0)
-        if numbers:
-            num = page_style.format(n=n, m=m, r=_roman(n % 90 + 1))
-            if rng.random() < 0.15:
-                num = num.replace("1", "l").replace("0", "O")
-            if rng.random() < 0.3:
-                out.append("")
-                kind.append(0)
-            out.append(num)
-            kind.append(2)
-        if rng.random() < 0.2:
-            out.append("")
-            kind.append(0)
+            head = [(misread(h, rng) if rng.random() < 0.15 else h, 1)]
+        if numbers and rng.random() < 0.9:
+            num = pad + page_style.format(n=n, m=m, r=_roman(n % 90 + 1)) + pad
+            number = [(num.replace("1", "l").replace("0", "O") if rng.random() < 0.15 else num, 2)]
+        gap = [("", 0)] if rng.random() < 0.2 else []
+        both_top = [*head, *number] if head_first else [*number, *head]
+        top = both_top if head_top and number_top else head if head_top else number if number_top else []
+        bottom = [x for x in both_top if x not in top]
+        page_lines = [*top, *[(x, 0) for x in lines[p : p + per]], *gap, *bottom]
+        if ff and p:
+            page_lines[0] = ("\f" + page_lines[0][0], page_lines[0][1])
+        out += [x for x, _ in page_lines]
+        kind += [k for _, k in page_lines]
         n += 1
     return out, kind
 
@@ -242,12 +243,12 @@ def fit_lines(samples: list[tuple[str, str, str]], seed: int = 7) -> tuple[Boost
     for text, title, venue in samples:
         hide = rng.random()  # some documents lack one of them
         lines, kind = simulate(text, title, venue, rng)
-        f = line_features(lines, None if hide < 0.1 else title, None if hide > 0.9 else venue)
+        f = line_features(lines, None if hide < 0.04 else title, None if hide > 0.96 else venue)
         keep = [i for i, s in enumerate(lines) if s.strip("\f \r\t")]
         x.append(f[keep])
         y += [kind[i] for i in keep]
     X, Y = np.concatenate(x), np.array(y, int)
-    return Boosted().fit(X, (Y == 1).astype(float)), Boosted(trees=30).fit(X, (Y == 2).astype(float))
+    return Boosted(trees=100).fit(X, (Y == 1).astype(float)), Boosted(trees=30).fit(X, (Y == 2).astype(float))
 
 
 # Words of the corpus
@@ -300,11 +301,10 @@ def corpus_words(docs: DataFrame) -> DataFrame:
 _ID = r"^[a-z]{2}[0-9oli]{5,8}$"
 
 
-def suspicious(words: DataFrame) -> DataFrame:
-    """Words of scans that may be misread: in few documents, not numbers or codes."""
+def _suspicious() -> Column:
+    """Of a word and its counts: whether it may be misread. It is met mostly in scans, and is no number or code."""
     t = F.col("term")
-    odd = t.rlike("[0-9]") & t.rlike(r"\p{L}")
-    return words.where((F.col("scan_occ") > 0) & (F.col("df") <= RARE_DF) & ~t.contains("-") & ((F.length(t) >= 3) | odd) & t.rlike(r"\p{L}") & ~t.rlike(_ID))
+    return (F.col("scan_occ") > 0) & (F.col("scan_occ") >= F.col("occ") * SCAN_SHARE) & ~t.contains("-") & (F.length(t) >= 2) & t.rlike(r"\p{L}") & ~t.rlike(_ID)
 
 
 def dictionary(words: DataFrame) -> DataFrame:
@@ -332,7 +332,7 @@ def _grams(df: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
     """token, cand and the counts of both: words of the dictionary that share an anchored gram and nearly a length with a suspect in folded spelling, and differ little.
 
-    ``suspects``: token, occ, df. A candidate is met more often than the suspect.
+    ``suspects``: token, occ, df. A candidate is met TIMES as often as the suspect or more.
     """
     s = _grams(suspects.withColumn("folded", _fold_column(F.col("token"))), (0,))
     d = dictionary(words).select(F.col("term").alias("cand"), F.col("occ").alias("cocc"), F.col("df").alias("cdf"), _fold_column(F.col("term")).alias("cfold"))
@@ -340,7 +340,7 @@ def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
     close = F.levenshtein("folded", "cfold", 1) >= 0
     return (
         s.join(d, ["gram", "len"])
-        .where((F.col("cand") != F.col("token")) & (F.col("cocc") > F.col("occ")) & close)
+        .where((F.col("cand") != F.col("token")) & (F.col("cocc") >= F.col("occ") * TIMES) & close)
         .select("token", "occ", "df", "cand", "cocc", "cdf")
         .distinct()
     )
@@ -362,7 +362,7 @@ def confusions_between(seen: str, true: str, most: int = 4) -> int:
     return min(best.get((len(true), len(seen)), most + 1), most + 1)
 
 
-PAIR_FEATURES = 10
+PAIR_FEATURES = 8
 
 
 def pair_features(rows: list[dict]) -> np.ndarray:
@@ -371,7 +371,7 @@ def pair_features(rows: list[dict]) -> np.ndarray:
         t, c = r["token"], r["cand"]
         lead = next((i for i, (x, y) in enumerate(zip(t, c, strict=False)) if x != y), min(len(t), len(c)))
         out[k] = (
-            confusions_between(t, c), fold(t) == fold(c), log1p(r["occ"]), log1p(r["df"]), log1p(r["cocc"]), log1p(r["cdf"]),
+            confusions_between(t, c), fold(t) == fold(c), log(r["cocc"] / r["occ"]), log(r["cdf"] / r["df"]),
             any(ch.isdigit() for ch in t), len(t), lead / max(1, len(c)), len(t) - len(c),
         )
     return out
@@ -379,30 +379,32 @@ def pair_features(rows: list[dict]) -> np.ndarray:
 
 def rank_corrections(words: DataFrame, seed: int = 7) -> DataFrame:
     """token, cand, score: the best candidate of each suspicious word, with its probability of being the true one. ``words`` is stored."""
-    sus = suspicious(words).select(F.col("term").alias("token"), "occ", "df", F.lit("t").alias("part"))
-    # To learn from: misread forms of words, and rare words of clean texts, which need no correction.
+    sus = words.where(_suspicious()).select(F.col("term").alias("token"), "occ", "df", F.lit("t").alias("part"))
+    # To learn from: misread forms of words, and words of clean texts, which need no correction.
     pick = F.xxhash64("term", F.lit(seed))
-    known = dictionary(words).where((F.length("term") >= 3) & (F.col("occ") > F.col("scan_occ"))).orderBy(pick, "term").limit(SAMPLE_WORDS).select("term").toArrow().column(0).to_pylist()
-    common = dictionary(words).where((F.length("term") >= 2) & (F.col("df") > 50)).orderBy(pick, "term").limit(SAMPLE_WORDS // 4).select("term").toArrow().column(0).to_pylist()
+    clean = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & F.col("term").rlike(r"^\p{L}{2,}$")).orderBy(pick, "term")
+    known = clean.where("occ >= 2").limit(SAMPLE_WORDS).select("term", "occ", "df").toArrow().to_pylist()
     rng = random.Random(seed)
-    true: dict[str, str] = {}
-    for w in [*known, *common, *common]:
-        t = misread(w, rng)
-        if rng.random() < 0.1:
-            t = misread(t, rng)
-        if t != w:
-            true.setdefault(t, w)
-    for w in [*known, *common]:
-        true.pop(w, None)
+    true: dict[str, tuple[str, int, int]] = {}
+    for r in known:
+        for _ in range(2):
+            t = misread(r["term"], rng)
+            if rng.random() < 0.1:
+                t = misread(t, rng)
+            rate = 10 ** -rng.uniform(0.4, 4.5)  # misread forms are met so often beside the true one
+            if t != r["term"]:
+                true.setdefault(t, (r["term"], max(1, int(r["occ"] * rate)), max(1, int(r["df"] * rate))))
+    for r in known:
+        true.pop(r["term"], None)
     spark = words.sparkSession
-    fake = spark.createDataFrame([(t, 1, 1, "f") for t in true], "token string, occ long, df long, part string")
+    fake = spark.createDataFrame([(t, o, d, "f") for t, (_, o, d) in true.items()], "token string, occ long, df long, part string")
     fake = fake.join(words.select(F.col("term").alias("token")), "token", "left_anti")
-    clean = words.where((F.col("scan_occ") == 0) & (F.col("df") <= RARE_DF) & F.col("term").rlike(r"^\p{L}{3,}$")).orderBy(pick, "term").limit(SAMPLE_WORDS).select(F.col("term").alias("token"), "occ", "df", F.lit("c").alias("part"))
+    clean = clean.limit(SAMPLE_WORDS).select(F.col("term").alias("token"), "occ", "df", F.lit("c").alias("part"))
     every = sus.unionByName(fake).unionByName(clean)
     parts = every.select("token", "part")
     pairs = materialize(candidates(every.drop("part"), words).join(parts, "token"))
     train = pairs.where("part != 't'").toArrow().to_pylist()  # candidates of the bounded samples
-    y = np.array([r["part"] == "f" and true.get(r["token"]) == r["cand"] for r in train], float)
+    y = np.array([r["part"] == "f" and true[r["token"]][0] == r["cand"] for r in train], float)
     model = spark.sparkContext.broadcast(Boosted().fit(pair_features(train), y))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +475,7 @@ def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
     return out
 
 
-_DIGITISH = re.compile(r"[oli]*[1-9][\doli]*|\d[\doli]+")
+_DIGITISH = re.compile(r"\d+O[\dO]*|\d*l\d+")
 
 
 def repair(lines: list[str], kinds: list[int], occ, correction, joins: Boosted) -> tuple[str, list[tuple[int, str]]]:
@@ -505,8 +507,8 @@ def repair(lines: list[str], kinds: list[int], occ, correction, joins: Boosted)
             if (k == 0 and skip_first) or (k == last and i in broken):
                 continue
             c = correction(w.lower())
-            if c is None and len(w) > 1 and not w.isdigit() and _DIGITISH.fullmatch(w.lower()) and not s[: m.start()].endswith("(Fig. "):
-                c = w.lower().replace("o", "0").replace("l", "1").replace("i", "1")
+            if c is None and _DIGITISH.fullmatch(w):
+                c = w.replace("O", "0").replace("l", "1")
             if c is not None:
                 hit = True
                 c = c.upper() if w.isupper() and len(w) > 1 else c[:1].upper() + c[1:] if w[:1].isupper() else c
@@ -540,7 +542,7 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     n = docs.count()
     words = materialize(corpus_words(src))
     least = max(50.0, n * HEAD_SHARE)
-    head = words.where(F.col("df") >= least).select("term", "occ").toArrow().to_pydict()  # bounded: at most mean distinct words of a text / HEAD_SHARE
+    head = words.where((F.col("df") >= least) & ~_suspicious()).select("term", "occ").toArrow().to_pydict()  # bounded: at most mean distinct words of a text / HEAD_SHARE
     known = sc.broadcast(dict(zip(head["term"], head["occ"], strict=True)))
     fixes = rank_corrections(words)
 
@@ -570,7 +572,7 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     # Words in few documents only are asked for, so no key of this join is hot.
     answers = (
         labelled.select("row", F.explode("asks").alias("term"))
-        .join(words.where(F.col("df") < least).select("term", "occ"), "term", "left")
+        .join(words.where((F.col("df") < least) | _suspicious()).select("term", "occ"), "term", "left")
         .join(fixes.where("score > 0.5").withColumnRenamed("token", "term"), "term", "left")
         .where("occ IS NOT NULL OR cand IS NOT NULL")
         .groupBy("row")
