@@ -62,14 +62,18 @@ _SENTENCE_END = re.compile(r"[.!?:][)\]\"”]*\s*$")
 
 
 def is_scan(text: str | None) -> bool:
-    """Whether ``text`` is wrapped into short lines that run on from one to the next, with hyphenation or pages."""
+    """Whether ``text`` is wrapped into short lines of about one width that run on from one to the next, with hyphenation or pages."""
     if not text or text.count("\n") < 3:
         return False
     lines = [x for x in text.split("\n") if x.strip()]
     if len(lines) < 4:
         return False
     low = sum(x.lstrip()[:1].islower() for x in lines[1:])
-    if low <= 0.3 * len(lines) or sorted(map(len, lines))[len(lines) // 2] > 100:
+    sizes = sorted(map(len, lines))
+    if low <= 0.3 * len(lines) or sizes[len(lines) // 2] > 100:
+        return False
+    on = [len(a) for a, b in zip(lines, lines[1:], strict=False) if b.lstrip()[:1].islower()]
+    if sum(n >= 0.75 * sizes[int(len(lines) * 0.9)] for n in on) < 0.5 * len(on):  # line breaks at random are another flaw
         return False
     return "\f" in text or any(_END.search(x.rstrip("\r")) or _PAGE.fullmatch(x.strip()) for x in lines)
 
