@@ -119,7 +119,9 @@ def write_containers(records: DataFrame, order: list[str], folder: str) -> DataF
     A group is one bin, at most the target size and a record. Files get their name when they are
     complete, and a repeated task writes the same bytes.
     """
-    ordered = len(order)
+    spark = records.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
     def write(group: pa.Table) -> pa.Table:
         import pyarrow.fs as pafs
@@ -135,7 +137,6 @@ def write_containers(records: DataFrame, order: list[str], folder: str) -> DataF
         fs.move(tmp, end)
         return pa.table({"bin": [number], "records": [n], "raw_bytes": [raw], "raw_crc": [crc], "file_bytes": [len(data)], "file_crc": [zlib.crc32(data)]})
 
-    assert ordered
     return materialize(records.select(*order, "raw", "bin").groupBy("bin").applyInArrow(write, MANIFEST))
 
 
