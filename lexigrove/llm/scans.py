@@ -87,9 +87,8 @@ def _core(line: str) -> str:
     return _EDGE_NUMBER.sub("", line.strip("\f \r\t")).strip()
 
 
-def _prefix_share(core: str, whole: str) -> float:
-    """How well the folded ``core`` is the beginning of ``whole``: 1 if it is, less by the share of differing characters."""
-    a, b = fold(core), fold(whole)[: len(fold(core))]
+def _prefix_share(a: str, b: str) -> float:
+    """How well ``a`` is the beginning of ``b``, both folded: 1 if it is, less by the share of differing characters."""
     if not a or not b:
         return 0.0
     same = sum(x == y for x, y in zip(a, b, strict=False))
@@ -108,8 +107,9 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
     width = float(np.median([len(lines[i]) for i in full]))
     page = {i: bool(_PAGE.fullmatch(lines[i].strip("\f \r\t"))) for i in full}
     cores = {i: _core(lines[i]) for i in full}
-    seen = Counter(fold(c) for c in cores.values())
-    plain_venue = re.sub(r"\s*\(.*", "", venue or "")
+    folded = {i: fold(c) for i, c in cores.items()}
+    seen = Counter(folded.values())
+    heads = fold(title or ""), fold(venue or ""), fold(re.sub(r"\s*\(.*", "", venue or ""))
     for k, i in enumerate(full):
         s, core = lines[i].strip("\f \r\t"), cores[i]
         prev, nxt = (full[k - 1] if k else None), (full[k + 1] if k + 1 < len(full) else None)
@@ -120,9 +120,9 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
         letters = [c for c in s if c.isalpha()]
         out[i] = (
             page[i],
-            _prefix_share(core, title or "") if len(core) > 5 else 0.0,
-            max(_prefix_share(core, venue or ""), _prefix_share(core, plain_venue)) if len(core) > 5 else 0.0,
-            seen[fold(core)] if core else 0,
+            _prefix_share(folded[i], heads[0]) if len(core) > 5 else 0.0,
+            max(_prefix_share(folded[i], heads[1]), _prefix_share(folded[i], heads[2])) if len(core) > 5 else 0.0,
+            seen[folded[i]] if core else 0,
             prev is not None and page[prev],
             nxt is not None and page[nxt],
             ("\f" in lines[i]) + 2 * ("\f" in after),
@@ -463,16 +463,23 @@ HEADER, PAGE, BROKEN, MISREAD = "header", "page_number", "broken_word", "misread
 _RESULT = "doc_id {id}, text string, found array<struct<line_no:int,kind:string>>"
 
 
-def _line_kinds(lines: list[str], title, venue, head: Boosted, page: Boosted) -> list[int]:
-    f = line_features(lines, title, venue)
+def line_kinds(texts: list[tuple[list[str], str | None, str | None]], head: Boosted, page: Boosted) -> list[list[int]]:
+    """For each text (lines, title, venue) and line 0 body, 1 header, 2 page number. The models judge the lines of all texts at once."""
+    if not texts:
+        return []
+    f = np.concatenate([line_features(*t) for t in texts])
     h, p = head.score(f), page.score(f)
-    full = [bool(x.strip("\f \r\t")) for x in lines]
-    return [0 if not ok else 2 if b > 0.5 and b >= a else 1 if a > 0.5 else 0 for ok, a, b in zip(full, h, p, strict=True)]
+    kind = np.where((p > 0.5) & (p >= h), 2, np.where(h > 0.5, 1, 0))
+    out, at = [], 0
+    for lines, _, _ in texts:
+        out.append([int(k) if x.strip("\f \r\t") else 0 for x, k in zip(lines, kind[at : at + len(lines)], strict=True)])
+        at += len(lines)
+    return out
 
 
 def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
     """Everything that the repair of a text asks the corpus about."""
-    body = [k == 0 and bool(x.strip("\f \r\t")) for x, k in zip(lines, kinds, strict=True)]
+    body = _body(lines, kinds)
     out = {w for x, b in zip(lines, body, strict=True) if b for w in WORD.findall(x.lower())}
     for _, a, b, _ in line_pairs(lines, body):
         out |= {a + b, f"{a}-{b}"}
@@ -482,18 +489,23 @@ def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
 _DIGITISH = re.compile(r"\d+O[\dO]*|\d*l\d+")
 
 
-def repair(lines: list[str], kinds: list[int], occ, correction, joins: Boosted) -> tuple[str, list[tuple[int, str]]]:
-    """Continuous text and the cases found. ``occ(term)``: corpus count; ``correction(word)``: the true word, or None."""
-    found: list[tuple[int, str]] = [(i, HEADER if k == 1 else PAGE) for i, k in enumerate(kinds) if k]
+def _body(lines: list[str], kinds: list[int]) -> list[bool]:
+    return [k == 0 and bool(x.strip("\f \r\t")) for x, k in zip(lines, kinds, strict=True)]
+
+
+def broken_lines(texts: list[tuple[list[str], list[int], object]], joins: Boosted) -> list[tuple[set[int], set[int]]]:
+    """For each text (lines, kinds, occ) the lines that end in a hyphen and run on, and those of them whose word is divided; judged for all texts at once."""
+    pairs = [list(line_pairs(lines, _body(lines, kinds))) for lines, kinds, _ in texts]
+    x = [join_features(a, b, h, occ) for (_, _, occ), ps in zip(texts, pairs, strict=True) for _, a, b, h in ps]
+    score = iter(joins.score(np.array(x, float).reshape(len(x), JOIN_FEATURES)))
+    return [({p[0] for p in ps}, {p[0] for p in ps if next(score) > 0.5}) for ps in pairs]
+
+
+def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int], broken: set[int]) -> tuple[str, list[tuple[int, str]]]:
+    """Continuous text and the cases found. ``correction(word)``: the true word, or None; ``ends_hyphen, broken``: see broken_lines."""
+    found: list[tuple[int, str]] = [(i, HEADER if k == 1 else PAGE) for i, k in enumerate(kinds) if k] + [(i, BROKEN) for i in broken]
     blank = [not x.strip("\f \r\t") for x in lines]
-    body = [k == 0 and not e for k, e in zip(kinds, blank, strict=True)]
-    pairs = list(line_pairs(lines, body))
-    broken: set[int] = set()
-    if pairs:
-        s = joins.score(np.array([join_features(a, b, h, occ) for _, a, b, h in pairs], float))
-        broken = {p[0] for p, q in zip(pairs, s, strict=True) if q > 0.5}
-    found += [(i, BROKEN) for i in broken]
-    ends_hyphen = {p[0] for p in pairs}
+    body = _body(lines, kinds)
     out: list[str] = []
     glue = ""  # what stands between the text so far and the next body line
     skip_first = False
@@ -542,7 +554,7 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
         F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
         (none if title is None else F.col(f"`{title}`").cast("string")).alias("title"), (none if venue is None else F.col(f"`{venue}`").cast("string")).alias("venue"),
     )
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
+    sc = docs.sparkSession.sparkContext
     n = docs.count()
     words = materialize(corpus_words(src))
     least = max(50.0, n * HEAD_SHARE)
@@ -559,14 +571,11 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head_model, page_model, _ = models.value
         for b in batches:
-            take, kinds, asks = [], [], []
-            for i, (t, ti, ve) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                if is_scan(t):
-                    lines = t.split("\n")
-                    k = _line_kinds(lines, ti, ve, head_model, page_model)
-                    take.append(i)
-                    kinds.append(k)
-                    asks.append(sorted(w for w in _terms_of(lines, k) if w not in known.value))
+            rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
+            texts = [(i, (t.split("\n"), ti, ve)) for i, (t, ti, ve) in enumerate(rows) if is_scan(t)]
+            take = [i for i, _ in texts]
+            kinds = line_kinds([x for _, x in texts], head_model, page_model)
+            asks = [sorted(w for w in _terms_of(x[0], k) if w not in known.value) for (_, x), k in zip(texts, kinds, strict=True)]
             idx = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(kinds, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.string()))], ["doc_id", "text", "kinds", "asks"])
 
@@ -586,19 +595,19 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joins = models.value[2]
         for b in batches:
-            texts, cases = [], []
-            for t, kinds, answers in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                table = {a["term"]: (a["occ"], a["cand"]) for a in answers or ()}
-                occ = lambda w, table=table: known.value.get(w) or (table[w][0] or 0 if w in table else 0)
-                fix = lambda w, table=table: table[w][1] if w in table else None
-                text, found = repair(t.split("\n"), kinds, occ, fix, joins)
-                texts.append(text)
-                cases.append([{"line_no": i, "kind": k} for i, k in found])
+            tables = [{a["term"]: (a["occ"], a["cand"]) for a in answers or ()} for answers in b.column(3).to_pylist()]
+            lines = [t.split("\n") for t in b.column(1).to_pylist()]
+            kinds = b.column(2).to_pylist()
+            occs = [lambda w, t=t: known.value.get(w) or (t[w][0] or 0 if w in t else 0) for t in tables]
+            fixes_of = [lambda w, t=t: t[w][1] if w in t else None for t in tables]
+            ends = broken_lines(list(zip(lines, kinds, occs, strict=True)), joins)
+            done = [repair(x, k, f, *e) for x, k, f, e in zip(lines, kinds, fixes_of, ends, strict=True)]
+            texts = [x for x, _ in done]
+            cases = [[{"line_no": i, "kind": k} for i, k in found] for _, found in done]
             kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cases, kind)], ["doc_id", "text", "found"])
 
     both = labelled.select("row", "doc_id", "text", "kinds").join(answers, "row", "left").select("doc_id", "text", "kinds", "answers")
-    assert spark
     return both.mapInArrow(mend, _RESULT.format(id=id_type))
 
 
