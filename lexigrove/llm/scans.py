@@ -198,7 +198,8 @@ def simulate(text: str, title: str, venue: str, rng: random.Random) -> tuple[lis
                 room = width - len(line) - 2
                 if len(w) > 6 and room >= 3 and rng.random() < 0.6:
                     cut = min(room, len(w) - 3)
-                    lines.append(f"{line} {w[:cut]}{hyphen}".lstrip(" ") if line.strip() else f"{w[:cut]}{hyphen}")
+                    part = w[:cut] if w[cut - 1] == "-" else w[:cut] + hyphen
+                    lines.append(f"{line} {part}".lstrip(" "))
                     line = w[cut:]
                     continue
                 lines.append(line)
@@ -287,7 +288,7 @@ def corpus_words(docs: DataFrame) -> DataFrame:
                     low = _BROKEN.sub(" ", low)
                 w = WORD.findall(low)
                 if "-" in low:
-                    w += _COMPOUND.findall(low)
+                    w += [c for x in low.split() if "-" in x for c in _COMPOUND.findall(x)]
                 occ.update(w)
                 df.update(set(w))
                 if scanned:
@@ -538,6 +539,8 @@ def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int]
         skip_first = i in broken
         if i in broken:
             s = re.sub(rf"[{HYPHENS}] ?$", "", s)
+        elif i in ends_hyphen:
+            s = re.sub(rf"[{HYPHENS}] ?$", "-", s)
         out += [glue if out else "", s.lstrip()]
         glue = "" if i in ends_hyphen else " "
     return "".join(out), sorted(found)
