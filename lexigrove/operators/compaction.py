@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.operators.numbering import running_sum
 from lexigrove.session import materialize, shared_folder
-from lexigrove.sources.tables import table
+from lexigrove.sources.tables import spread, table
 
 #: Raw bytes of a consolidated file. A record longer than this has a file to itself.
 TARGET_BYTES = 128 << 20
@@ -182,7 +182,7 @@ def consolidate(files: DataFrame, folder: str, key: str = RECORD_KEY, order: tup
 
 def _consolidated(s: SparkSession, d: str) -> tuple[str, DataFrame]:
     folder = f"{shared_folder(s)}/consolidated-{uuid.uuid4().hex}"
-    return folder, consolidate(table(s, d, "paper_files"), folder)
+    return folder, consolidate(spread(table(s, d, "paper_files").select("file_id", "content", "written_at")), folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,8 +6,10 @@ token numbers, postings. The order of documents is that of the column given as `
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,6 +96,20 @@ class Index:
         )
 
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, token, positions: each token of a document once, without a shuffle, as a document is one row."""
+    for b in batches:
+        take, tokens, places = [], [], []
+        for i, doc in enumerate(b.column(1).to_pylist()):
+            at: dict[str, list[int]] = {}
+            for k, t in enumerate(doc):
+                at.setdefault(t, []).append(k)
+            take += [i] * len(at)
+            tokens += at
+            places += at.values()
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(tokens, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "token", "positions"])
+
+
 def build_index(
     docs: DataFrame,
     order: list[str],
@@ -110,15 +126,13 @@ def build_index(
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
     named = docs.select(*[F.col(c).alias(f"__o{k}") for k, c in enumerate(order)], F.col(paper_id).cast("string").alias("paper_id"), F.col(text).alias("__text"))
-    lists = with_tokens(named, "__text", "tokens").where(F.size("tokens") > 0) if stopwords is STOPWORDS else with_tokens(named, "__text", "tokens", stopwords).where(F.size("tokens") > 0)
-    numbered = dense_number(lists, [f"__o{k}" for k in range(len(order))], "doc_id").select("doc_id", "paper_id", "tokens")
+    tokens = lambda df: with_tokens(df, "__text", "tokens", stopwords).where(F.size("tokens") > 0)
+    numbered = dense_number(named, [f"__o{k}" for k in range(len(order))], "doc_id", then=tokens).select("doc_id", "paper_id", "tokens")
     if limit is not None:
         numbered = numbered.where(F.col("doc_id") < limit)
     if numbered.isEmpty():
         raise EmptyCorpus("no documents to index")
-    occ = numbered.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
-    per_doc = occ.groupBy("doc_id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))  # one document's positions of one token
-    per_doc = materialize(per_doc)
+    per_doc = materialize(numbered.select("doc_id", "tokens").mapInArrow(_positions, "doc_id long, token string, positions array<int>"))
     first = per_doc.groupBy("token").agg(F.min(F.struct("doc_id", F.col("positions")[0].alias("pos"))).alias("at"))
     lexicon = dense_number(first, [F.col("at.doc_id"), F.col("at.pos")], "token_id").select("token_id", "token")
     postings = materialize(

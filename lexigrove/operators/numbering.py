@@ -6,6 +6,8 @@ partitions before it is its number. Only one row a partition is ever brought tog
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,18 @@ def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
     return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def dense_number(df: DataFrame, order: list[str | Column], to: str, start: int = 0) -> DataFrame:
+def dense_number(
+    df: DataFrame, order: list[str | Column], to: str, start: int = 0, then: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
     """``df`` with the column ``to``: ``start``, ``start`` + 1, ... in ``order``, which must decide every tie.
 
     The rows are written to the shared folder first, because range bounds are sampled and a second
-    evaluation could draw others. An empty table stays empty.
+    evaluation could draw others. An empty table stays empty. ``then``: a row-wise step that keeps the rows'
+    order and may drop some, done once the rows are in order and before they are numbered; what is
+    costly belongs there, as the sampling runs through everything before.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = materialize(_ranged(df, cols).withColumn("__rs_m", F.monotonically_increasing_id()))
+    placed = materialize(then(_ranged(df, cols)).withColumn("__rs_m", F.monotonically_increasing_id()))
     part = F.shiftright("__rs_m", 33)
     sizes = placed.groupBy(part.alias("__rs_p")).agg(F.count("*").alias("__rs_n"))
     before = sizes.select(

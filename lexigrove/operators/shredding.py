@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexigrove.session import materialize
-from lexigrove.sources.tables import table
+from lexigrove.sources.tables import spread, table
 
 NODE = "node string, parent string, label string, ordinal int, kind string, scalar string"
 KEY = "@key"
@@ -181,9 +181,9 @@ LINK_SCHEMA = "record_id bigint, " + ", ".join(f"{a} array<struct<ref_spans:arra
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def links(s: SparkSession, d: str) -> DataFrame:
-        return span_links(paper_nodes(s.read.schema(LINK_SCHEMA).parquet(f"{d}/papers.parquet")))
+        return span_links(paper_nodes(spread(s.read.schema(LINK_SCHEMA).parquet(f"{d}/papers.parquet"))))
 
-    full = lambda s, d, *c: paper_nodes(table(s, d, "papers"), list(c))
+    full = lambda s, d, *c: paper_nodes(spread(table(s, d, "papers").select("record_id", *c)), list(c))
     return {
         "p2_found": links,
         "p2_records": lambda s, d: records(full(s, d, "source_tag", "paper_id", "metadata")),

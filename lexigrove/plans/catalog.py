@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import with_tokens
@@ -13,7 +13,7 @@ from lexigrove.operators import barrels as B
 from lexigrove.operators import compaction, ranking, shredding, skew, storage, validate
 from lexigrove.operators.index import Index, build_index
 from lexigrove.operators.search import term_lookup
-from lexigrove.sources.tables import table
+from lexigrove.sources.tables import spread, table
 
 LOOKUP_TERM = "receptor"
 RANK_WORD = "receptor"
@@ -42,14 +42,20 @@ def barrels_of(spark: SparkSession, folder: str) -> B.Barrels:
     return _barrels(spark.sparkContext.applicationId, folder)
 
 
+def _hits_in(tokens: Column, code: int, rank: int, words: list[str]) -> Column:
+    """Array of a field's hits on ``words``: what is no hit never becomes a row."""
+    hit = F.transform(tokens, lambda t, i: F.struct(F.lit(code).alias("code"), F.lit(rank).alias("field_rank"), i.alias("pos"), t.alias("token")))
+    return F.filter(hit, lambda x: x["token"].isin(words))
+
+
 def hits_of(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:
     """Hit lists from title, text and venue, whose tokens stand for the fields title, body and tags."""
-    docs = table(spark, folder, "documents")
+    docs = spread(table(spark, folder, "documents").select("doc_id", "title", "text", "venue"))
     parts = []
     for rank, (column, code) in enumerate((("title", ranking.TITLE), ("text", ranking.TEXT), ("venue", ranking.TAGS))):
-        lists = with_tokens(docs.select("doc_id", column), column, "tokens")
-        parts.append(lists.select("doc_id", F.lit(code).alias("code"), F.lit(rank).alias("field_rank"), F.posexplode("tokens").alias("pos", "token")))
-    return ranking.field_hits(parts[0].unionByName(parts[1]).unionByName(parts[2]), words)
+        docs = with_tokens(docs, column, f"__{column}")
+        parts.append(_hits_in(F.col(f"__{column}"), code, rank, words))
+    return ranking.field_hits(docs.select("doc_id", F.inline(F.concat(*parts))), words)
 
 
 def _joined(c: str):
