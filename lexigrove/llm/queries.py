@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm import canonical, distinctive, frequency, leakage, packing, reading, scans
-from lexigrove.plans.oracles import normalized, token_list
-from lexigrove.sources.tables import table
+from lexigrove.plans.oracles import token_list
+from lexigrove.sources.tables import spread, table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    docs = lambda s, d: table(s, d, "documents").select("doc_id", "text")
+    docs = lambda s, d: spread(table(s, d, "documents").select("doc_id", "text"))
     return {
         "p1_found": lambda s, d: canonical.look_alike_pairs(docs(s, d)),
         "p1_canonical": lambda s, d: canonical.canonical(docs(s, d), to="text"),
@@ -33,11 +33,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def _bands(s: SparkSession, d: str) -> DataFrame:
-    return reading.reading_bands(table(s, d, "documents").select("doc_id", "text", "lang"), table(s, d, "reading_labels"))
+    return reading.reading_bands(spread(table(s, d, "documents").select("doc_id", "text", "lang")), table(s, d, "reading_labels"))
 
 
 def _repaired(s: SparkSession, d: str) -> DataFrame:
-    return scans.repair_scans(table(s, d, "documents").select("doc_id", "text", "title", "venue"))
+    return scans.repair_scans(spread(table(s, d, "documents").select("doc_id", "text", "title", "venue")))
 
 
 _OCC = f"occ AS MATERIALIZED (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({token_list('text')}) AS token FROM documents) GROUP BY ALL)"
@@ -51,7 +51,6 @@ def _runs(t: str, key: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    assert normalized
     return {
         "p4_found": f"SELECT token, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
         "p4_terms": _TERMS,
