@@ -176,10 +176,12 @@ class Scores:
 
     def most_weighted(self, least_df: int = 2) -> DataFrame:
         """doc_id, token: of each document's terms in ``least_df`` documents or more the one with the greatest tf * ln(N / df), rounded to 6 decimals; of equals the smallest."""
-        weight = lambda tf, df: F.round(tf * F.log(F.lit(float(self.total)) / df), 6)
-        packed = F.transform(F.filter("terms", lambda t: t["df"] >= least_df), lambda t: F.struct((-weight(t["tf"], t["df"])).alias("w"), t["token"].alias("token")))
+        # In whole millionths: rounding doubles to decimals goes through big decimals.
+        weight = lambda tf, df: -F.floor(tf * F.log(F.lit(float(self.total)) / df) * 1e6 + 0.5)
+        terms = F.col("terms") if least_df <= self.least else F.filter("terms", lambda t: t["df"] >= least_df)
+        packed = F.transform(terms, lambda t: F.struct(weight(t["tf"], t["df"]).alias("w"), t["token"].alias("token")))
         head = self.head().select("doc_id", F.array_min(packed).alias("x")).where("x IS NOT NULL")
-        tail = self.tail().where(F.col("df") >= least_df).select("doc_id", F.struct((-weight(F.col("tf"), F.col("df"))).alias("w"), "token").alias("x"))
+        tail = self.tail().where(F.col("df") >= least_df).select("doc_id", F.struct(weight(F.col("tf"), F.col("df")).alias("w"), "token").alias("x"))
         return head.unionByName(tail).groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", F.col("x.token").alias("token"))
 
 
