@@ -58,6 +58,11 @@ class Index:
     def doc_freq(self) -> DataFrame:
         return self.postings.groupBy("token_id").agg(F.count("*").alias("doc_freq"))
 
+    def ids_of(self, terms: DataFrame, term: str = "token") -> DataFrame:
+        """``terms`` with the column token_id, -1 for terms that the lexicon lacks; it is not changed."""
+        known = self.lexicon.withColumnRenamed("token", "__token")
+        return terms.join(known, F.col(term) == F.col("__token"), "left").drop("__token").withColumn("token_id", F.coalesce("token_id", F.lit(-1)))
+
     def inverted(self) -> DataFrame:
         """token_id, doc_freq, doc_ids ascending: the classic list a token.
 

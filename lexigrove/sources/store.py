@@ -6,12 +6,15 @@ groups that can hold the token. A build goes to a new folder; a pointer file is
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.operators.barrels import Barrels
+from lexigrove.operators import storage
 from lexigrove.operators.storage import HEAVY_KB, HEAVY_TOP, heavy, heavy_postings, offsets
 
 TABLES = ("doc_ids", "lexicon", "forward", "inverted", "barrel_map", "postings", "offsets", "heavy_manifest", "heavy_postings")
@@ -69,3 +72,41 @@ def stored_lookup(spark: SparkSession, folder: str, term: str, top: int = 10) ->
         return posts.limit(0).select("doc_id", "freq")
     barrel = read_index_table(spark, folder, "barrel_map").where(F.col("token_id") == token.token_id).head()
     return posts.where((F.col("barrel_id") == barrel.barrel_id) & (F.col("token_id") == token.token_id)).orderBy("doc_id").limit(top).select("doc_id", "freq")
+
+
+def storage_stats(barrels: Barrels) -> dict:
+    """What the storage report holds: files and their sizes, blocks, the largest of them, barrels and memory, each a few rows."""
+    index = barrels.index
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    return {
+        "artifacts": {r["artifact"]: r["bytes"] for r in rows(storage.artifact_sizes(index, barrels))},
+        "vocabulary": index.lexicon.count(),
+        "documents": index.docs.count(),
+        "blocks": rows(storage.block_stats(index.postings))[0],
+        "largest_blocks": rows(storage.largest_blocks(index.postings)),
+        "barrels": rows(barrels.analysis().orderBy(F.desc("size_bytes"), "barrel_id")),
+        "memory": rows(storage.memory_estimate(index))[0],
+    }
+
+
+def write_stats(barrels: Barrels, path: str) -> None:
+    """Write the storage report as one JSON file."""
+    spark = barrels.index.spark
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(json.dumps(storage_stats(barrels), indent=1).encode()))
+    out.close()
+
+
+def lookup_timings(spark: SparkSession, folder: str, k: int = 10, seed: int = 0) -> DataFrame:
+    """token_id, locate_ms, read_ms, postings of ``k`` sampled tokens of a stored index: how long their barrel takes to find and their block to read."""
+    barrel_map = read_index_table(spark, folder, "barrel_map")
+    posts = read_index_table(spark, folder, "postings")
+    out = []
+    for t in barrel_map.orderBy(F.xxhash64("token_id", F.lit(seed)), "token_id").limit(k).select("token_id").collect():
+        t0 = time.perf_counter()
+        barrel = barrel_map.where(F.col("token_id") == t.token_id).head().barrel_id
+        t1 = time.perf_counter()
+        n = posts.where((F.col("barrel_id") == barrel) & (F.col("token_id") == t.token_id)).count()
+        out.append((t.token_id, (t1 - t0) * 1e3, (time.perf_counter() - t1) * 1e3, n))
+    return spark.createDataFrame(out, "token_id long, locate_ms double, read_ms double, postings long")
