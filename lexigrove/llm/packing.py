@@ -23,9 +23,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Windows that a shard is meant to have, and bounds of its number of items.
-WINDOWS = 128
+WINDOWS = 256
 SHARD_ITEMS = (128, 4096)
 
+#: Room left, as a share, where windows over the capacity are divided again.
+SLACK = 0.004
+
 PACKED = "container_kind string, container_id string, doc_id {id}, piece_no int, token_start long, token_end long"
 
 
@@ -56,7 +59,7 @@ def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
 
     A partial partition lists its windows from the largest; those it lacks are empty. Equal imbalances go by the first item's place.
     """
-    heap = [(-s, i, [(s, [i])]) for i, s in enumerate(sizes)]
+    heap = [(-s, i, [(-s, i, [i])]) for i, s in enumerate(sizes)]  # sums are negated, so that plain order is the order
     heapq.heapify(heap)
     while len(heap) > 1:
         _, i, a = heapq.heappop(heap)
@@ -64,26 +67,37 @@ def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
         over = len(a) + len(b) - k
         if over <= 0:
             merged = a + b
-        else:  # the smallest windows of a take the smallest excess of b: largest on smallest
+        else:  # opposing windows lie on each other: the smallest of one on the largest of the other's smallest
             merged = a[: len(a) - over] + b[: len(b) - over]
-            for (s, x), (t, y) in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True):
-                merged.append((s + t, x + y))
-        merged.sort(key=lambda w: -w[0])
+            merged += [(s + t, min(p, q), x + y) for (s, p, x), (t, q, y) in zip(a[len(a) - over :], reversed(b[len(b) - over :]), strict=True)]
+        merged.sort()
         low = merged[-1][0] if len(merged) == k else 0
-        heapq.heappush(heap, (low - merged[0][0], min(i, j), merged))
-    return heap[0][2] if heap else []
+        heapq.heappush(heap, (merged[0][0] - low, min(i, j), merged))
+    return [(-s, x) for s, _, x in heap[0][2]] if heap else []
+
 
+def pack(sizes: list[int], capacity: int, slack: float = SLACK) -> list[list[int]]:
+    """Windows of places in ``sizes``, none over ``capacity``. Every size must be at most that.
 
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows of places in ``sizes``, none over ``capacity``. Every size must be at most that."""
-    if not sizes:
-        return []
+    Windows that fit are kept. The items of those that don't are divided again, together with the emptiest
+    windows, as many as bring the room to ``slack`` of the whole; where all of them don't, the count rises.
+    """
+    done: list[list[int]] = []
+    left = list(range(len(sizes)))
     k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        windows = differencing(sizes, k)
-        if max(s for s, _ in windows) <= capacity:
-            return [w for _, w in windows]
-        k += max(1, k // 64)
+    while left:
+        windows = [(s, [left[p] for p in x]) for s, x in differencing([sizes[p] for p in left], k)]
+        again = [w for w in windows if w[0] > capacity]
+        fit = sorted((w for w in windows if w[0] <= capacity), key=lambda w: -w[0])
+        if again:
+            room = sum(capacity - s for s, _ in again)
+            while fit and room < slack * capacity * len(again):
+                again.append(fit.pop())
+                room += capacity - again[-1][0]
+        done += [x for _, x in fit]
+        left = sorted(p for _, x in again for p in x)
+        k = len(again) + (not fit or room < slack * capacity * len(again)) if again else 0
+    return done
 
 
 def pack_documents(
