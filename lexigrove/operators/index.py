@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import STOPWORDS, with_tokens
@@ -18,6 +18,10 @@ from lexigrove.operators.numbering import dense_number
 from lexigrove.session import materialize
 
 
+#: Document numbers in one row of an inverted list.
+BLOCK = 1 << 16
+
+
 class EmptyCorpus(ValueError):
     """No document is left after stopwords."""
 
@@ -63,13 +67,15 @@ class Index:
         known = self.lexicon.withColumnRenamed("token", "__token")
         return terms.join(known, F.col(term) == F.col("__token"), "left").drop("__token").withColumn("token_id", F.coalesce("token_id", F.lit(-1)))
 
-    def inverted(self) -> DataFrame:
-        """token_id, doc_freq, doc_ids ascending: the classic list a token.
+    def inverted(self, block: int = BLOCK) -> DataFrame:
+        """token_id, doc_freq, block_no, doc_ids ascending: the list of each token, a row for each ``block`` of document numbers.
 
-        One row holds a token's whole list because that is the table's form; use ``postings`` for
-        anything that must scale with the most frequent token.
+        So no row or task holds more than a block, however many documents have the token; its whole list
+        is its blocks in order.
         """
-        return self.postings.groupBy("token_id").agg(F.count("*").alias("doc_freq"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+        lists = self.postings.groupBy("token_id", F.floor(F.col("doc_id") / F.lit(block)).alias("block_no")).agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+        n = F.sum(F.size("doc_ids")).over(Window.partitionBy("token_id")).cast("long")  # one row a block
+        return lists.select("token_id", n.alias("doc_freq"), "block_no", "doc_ids")
 
     # Statistics
 

@@ -90,7 +90,7 @@ def queries() -> dict[str, Query]:
         "forward_index": lambda s, d: _forward(ix(s, d).forward()),
         "forward_limit": lambda s, d: _forward(ix(s, d).forward().where(F.col("doc_id") < FORWARD_LIMIT)),
         "forward_stats": lambda s, d: ix(s, d).forward_stats(),
-        "inverted_index": lambda s, d: ix(s, d).inverted().select("token_id", "doc_freq", _joined("doc_ids")),
+        "inverted_index": lambda s, d: ix(s, d).inverted().select("token_id", "doc_freq", "block_no", _joined("doc_ids")),
         "doc_freq": lambda s, d: ix(s, d).doc_freq(),
         "inverted_stats": lambda s, d: ix(s, d).inverted_stats(),
         "frequent_tokens": lambda s, d: br(s, d).frequent_tokens(),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lexigrove.functions.text import STOPWORDS
 from lexigrove.operators import ranking
+from lexigrove.operators.index import BLOCK
 from lexigrove.plans.catalog import FORWARD_LIMIT, HEAVY_KB, LOOKUP_TERM, RANK_WORD, RANK_WORDS
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
@@ -106,7 +107,7 @@ def oracle_sql() -> dict[str, str]:
         "forward_index": o("lex", "SELECT doc_id, CAST(count(*) AS INTEGER) AS token_count, string_agg(token_id::VARCHAR, ',' ORDER BY pos) AS token_ids FROM occ JOIN lex USING (token) GROUP BY doc_id"),
         "forward_limit": o("lex", f"SELECT doc_id, CAST(count(*) AS INTEGER) AS token_count, string_agg(token_id::VARCHAR, ',' ORDER BY pos) AS token_ids FROM occ JOIN lex USING (token) WHERE doc_id < {FORWARD_LIMIT} GROUP BY doc_id"),
         "forward_stats": o("lex", f"SELECT {stats}, (SELECT count(*) FROM documents) - count(*) AS docs_skipped, (SELECT count(*) FROM lex) AS unique_terms, CAST(sum(len(toks)) AS BIGINT) AS total_tokens, CAST(sum(len(toks)) AS DOUBLE) / count(*) AS avg_doc_length, count(*) AS doc_ids_recorded FROM docs"),
-        "inverted_index": o("post", "SELECT token_id, count(*) AS doc_freq, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM post GROUP BY token_id"),
+        "inverted_index": o("post", f"SELECT token_id, CAST(sum(count(*)) OVER (PARTITION BY token_id) AS BIGINT) AS doc_freq, doc_id // {BLOCK} AS block_no, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM post GROUP BY token_id, doc_id // {BLOCK}"),
         "doc_freq": o("df", "SELECT token_id, doc_freq FROM df"),
         "inverted_stats": o("post", "SELECT (SELECT count(*) FROM lex) AS unique_tokens, count(*) AS total_postings, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lex) AS avg_postings_per_token, (SELECT count(*) FROM docs) AS documents_indexed, CAST(sum(freq) AS BIGINT) AS total_token_occurrences FROM post"),
         "frequent_tokens": o("th", "SELECT token_id, doc_freq FROM df, th WHERE doc_freq >= th"),

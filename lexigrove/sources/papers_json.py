@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,9 +44,9 @@ def read_raw(spark: SparkSession, root: str) -> DataFrame:
 
 
 def prefer_source(files: DataFrame) -> DataFrame:
-    """One file for each file name up to its first dot: the best source's first path."""
-    w = Window.partitionBy(file_key(F.col("path"))).orderBy("source_rank", "path")  # a few files a key
-    return files.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """One file for each file name up to its first dot: the best source's first path. Partial minima go to the shuffle, however many files share a key."""
+    best = F.min(F.struct("source_rank", "path", "source", "value")).alias("__b")
+    return files.groupBy(file_key(F.col("path")).alias("__key")).agg(best).select("__b.source", "__b.source_rank", "__b.path", "__b.value")
 
 
 def _section(blocks) -> F.Column:

@@ -33,7 +33,7 @@ def write_index(barrels: Barrels, folder: str, threshold_kb: float = HEAVY_KB, t
     index.doc_ids().write.parquet(f"{build}/doc_ids")
     index.lexicon.repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{build}/lexicon")
     index.forward().write.parquet(f"{build}/forward")
-    index.inverted().repartitionByRange("token_id").sortWithinPartitions("token_id").write.parquet(f"{build}/inverted")
+    index.inverted().repartitionByRange("token_id", "block_no").sortWithinPartitions("token_id", "block_no").write.parquet(f"{build}/inverted")
     barrels.barrel_map().write.parquet(f"{build}/barrel_map")
     posts = barrels.postings()
     posts.repartitionByRange("barrel_id", "token_id", "doc_id").sortWithinPartitions("barrel_id", "token_id", "doc_id").write.partitionBy("barrel_id").parquet(f"{build}/postings")

@@ -58,6 +58,11 @@ def test_postings_and_inverted(built, simulated):
             inv[t].append(d)
     assert {(r.token_id, r.doc_id): (r.freq, r.positions) for r in built.postings.collect()} == want
     assert {r.token_id: r.doc_ids for r in built.inverted().collect()} == dict(inv)
+    whole = defaultdict(list)
+    for r in built.inverted(block=5).orderBy("token_id", "block_no").collect():
+        assert len(r.doc_ids) <= 5 and r.doc_freq == len(inv[r.token_id])
+        whole[r.token_id] += r.doc_ids
+    assert whole == inv
     s = built.inverted_stats().head()
     assert (s.unique_tokens, s.total_postings, s.documents_indexed) == (len(inv), len(want), len(docs))
     f = built.forward_stats().head()

@@ -58,3 +58,11 @@ def test_repeated_and_no_rows(spark):
     twice = S.span_links(nodes(spark, [ROWS[0], ROWS[0]])).collect()
     assert len(twice) == 5
     assert S.span_links(nodes(spark, [])).count() == 0
+
+
+def test_other_schemas(spark):
+    df = spark.createDataFrame([("k", {"a": 1, "b": None}, [["x"], ["y", "z"]], (3, ("deep",)))], "id string, m map<string,int>, aa array<array<string>>, s struct<n:int,t:struct<u:string>>")
+    rows = {r.node: (r.kind, r.scalar, r.ordinal) for r in S.shred(df, "id").collect()}
+    assert rows["/s/n"] == ("scalar", "3", 0) and rows["/s/t/u"] == ("scalar", "deep", 0) and rows["/s/t"][0] == "object"
+    assert {rows[f"/m:{i}/@key"][1]: rows[f"/m:{i}/@value"][1] for i in (0, 1)} == {"a": "1", "b": None}
+    assert rows["/aa:1"] == ("scalar", "[y, z]", 1)
