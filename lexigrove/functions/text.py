@@ -44,17 +44,24 @@ def read_stopwords(spark: SparkSession, path: str) -> frozenset[str]:
     return stopword_set(r.value for r in spark.read.text(path).toLocalIterator())
 
 
-def with_tokens(df: DataFrame, text: str = "text", to: str = "tokens", stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
-    """``df`` with the array of tokens of ``text`` in the column ``to`` instead of the text; null and empty texts give an empty array.
+def with_token_lists(df: DataFrame, columns: dict[str, str], stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
+    """``df`` with the array of tokens of each key of ``columns`` in the column that it names, instead of the text; one pass for all of them.
 
-    A column of ``df`` that is already called ``to`` is replaced.
+    Null and empty texts give an empty array. A column of ``df`` that already has such a name is replaced.
     """
-    kept = [c for c in df.columns if c not in (text, to)]
-    schema = df.select(*[F.col(f"`{c}`") for c in kept], F.array(F.lit("")).alias(to)).schema
+    kept = [c for c in df.columns if c not in columns and c not in columns.values()]
+    new = list(columns.values())
+    schema = df.select(*[F.col(f"`{c}`") for c in kept], *[F.array(F.lit("")).alias(c) for c in new]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = pa.array([tokenize(t, stopwords) for t in b.column(len(kept)).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], lists], [*kept, to])
+            lists = [pa.array([tokenize(t, stopwords) for t in c.to_pylist()], pa.list_(pa.string())) for c in b.columns[len(kept) :]]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *lists], [*kept, *new])
+
+    texts = [F.col(f"`{c}`").cast("string").alias(to) for c, to in columns.items()]
+    return df.select(*[F.col(f"`{c}`") for c in kept], *texts).mapInArrow(run, schema)
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+
+def with_tokens(df: DataFrame, text: str = "text", to: str = "tokens", stopwords: frozenset[str] = STOPWORDS) -> DataFrame:
+    """:func:`with_token_lists` of one column."""
+    return with_token_lists(df, {text: to}, stopwords)

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrove.functions.text import with_tokens
+from lexigrove.functions.text import with_token_lists
 from lexigrove.operators import barrels as B
 from lexigrove.operators import compaction, ranking, shredding, skew, storage, validate
 from lexigrove.operators.index import Index, build_index
@@ -50,12 +50,10 @@ def _hits_in(tokens: Column, code: int, rank: int, words: list[str]) -> Column:
 
 def hits_of(spark: SparkSession, folder: str, words: list[str]) -> DataFrame:
     """Hit lists from title, text and venue, whose tokens stand for the fields title, body and tags."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "title", "text", "venue"))
-    parts = []
-    for rank, (column, code) in enumerate((("title", ranking.TITLE), ("text", ranking.TEXT), ("venue", ranking.TAGS))):
-        docs = with_tokens(docs, column, f"__{column}")
-        parts.append(_hits_in(F.col(f"__{column}"), code, rank, words))
-    return ranking.field_hits(docs.select("doc_id", F.inline(F.concat(*parts))), words)
+    fields = (("title", ranking.TITLE), ("text", ranking.TEXT), ("venue", ranking.TAGS))
+    docs = with_token_lists(spread(table(spark, folder, "documents").select("doc_id", *[c for c, _ in fields])), {c: f"{c}_tokens" for c, _ in fields})
+    hits = [_hits_in(F.col(f"{c}_tokens"), code, rank, words) for rank, (c, code) in enumerate(fields)]
+    return ranking.field_hits(docs.select("doc_id", F.inline(F.concat(*hits))), words)
 
 
 def _joined(c: str):
