@@ -487,6 +487,9 @@ def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
     return out
 
 
+# A long word of letters with a digit or two inside: misread even where no known word is like it.
+_INNER_DIGIT = re.compile(r"(?=[^\W_]{7,}$)(?=(?:\D*\d){1,2}\D*$)[^\W\d_]{2,}[0159][^\W_]*[^\W\d_]")
+_AS_LETTER = str.maketrans("0159", "olsg")
 _DIGITISH = re.compile(r"\d+O[\dO]*|\d*l\d+")
 
 
@@ -524,7 +527,9 @@ def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int]
             if (k == 0 and skip_first) or (k == last and i in broken):
                 continue
             c = correction(w.lower())
-            if c is None and _DIGITISH.fullmatch(w):
+            if c is None and _INNER_DIGIT.fullmatch(w):
+                c = w.lower().translate(_AS_LETTER)
+            elif c is None and _DIGITISH.fullmatch(w):
                 c = w.replace("O", "0").replace("l", "1")
             if c is not None:
                 hit = True
