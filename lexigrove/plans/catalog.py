@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,25 +20,20 @@ RANK_WORDS = ["receptor", "analysis", "households"]
 FORWARD_LIMIT = 100
 
 
-@lru_cache(maxsize=4)
-def _index(app: str, folder: str) -> Index:
-    spark = SparkSession.getActiveSession()
-    docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), "text")
-    return build_index(docs, ["doc_id"])
+_built: dict[tuple[str, str], B.Barrels] = {}
 
 
-def index_of(spark: SparkSession, folder: str) -> Index:
-    """The index of a folder's documents, built once a session and folder."""
-    return _index(spark.sparkContext.applicationId, folder)
-
-
-@lru_cache(maxsize=4)
-def _barrels(app: str, folder: str) -> B.Barrels:
-    return B.Barrels(_index(app, folder))
+def barrels_of(spark: SparkSession, folder: str) -> B.Barrels:
+    """The barrels, and with them the index, of a folder's documents: built once an application and folder, as stored tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _built:
+        docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), "text")
+        _built[key] = B.Barrels(build_index(docs, ["doc_id"]))
+    return _built[key]
 
 
-def barrels_of(spark: SparkSession, folder: str) -> B.Barrels:
-    return _barrels(spark.sparkContext.applicationId, folder)
+def index_of(spark: SparkSession, folder: str) -> Index:
+    return barrels_of(spark, folder).index
 
 
 def _hits_in(tokens: Column, code: int, rank: int, words: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -39,16 +40,21 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the package's code to the executors, once an application: their Python workers run functions of it."""
+    """Give the package's code to the executors by way of the shared folder, once an application: their Python workers run functions of it."""
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="lexigrove-code-")) / "lexigrove-code.zip"  # addPyFile copies it at once
+    archive = io.BytesIO()
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(str(archive))
+    path = f"{shared_folder(spark)}/lexigrove-code-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(archive.getvalue()))
+    out.close()
+    sc.addPyFile(path)
     _shipped.add(sc.applicationId)
 
 
