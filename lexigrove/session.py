@@ -29,11 +29,15 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again, so that a lost executor costs no recomputation.
 
-    Parquet keeps columns apart, so later plans still prune them; a checkpointed RDD would not.
+    Parquet keeps columns apart, so later plans still prune them; a checkpointed RDD would not. The table is
+    deleted when the driver ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
