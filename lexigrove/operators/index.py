@@ -143,10 +143,11 @@ def build_index(
         numbered = numbered.where(F.col("doc_id") < limit)
     if numbered.isEmpty():
         raise EmptyCorpus("no documents to index")
-    # Made twice from the stored token lists rather than stored as well: it is as large as the postings.
+    # Among a document's distinct tokens, which keep their order, each token is once; so the first document decides,
+    # and both values are kept in a hash table, which a struct is not.
+    first = numbered.select("doc_id", F.posexplode(F.array_distinct("tokens")).alias("pos", "token")).groupBy("token")
+    first = first.agg(F.min("doc_id").alias("__doc"), F.min_by("pos", "doc_id").alias("__pos"))
     per_doc = numbered.select("doc_id", "tokens").mapInArrow(_positions, "doc_id long, token string, positions array<int>")
-    # A token is once in a document's rows, so the first document decides; both are kept in a hash table, which a struct is not.
-    first = per_doc.groupBy("token").agg(F.min("doc_id").alias("__doc"), F.min_by(F.col("positions")[0], F.col("doc_id")).alias("__pos"))
     lexicon = dense_number(first, ["__doc", "__pos"], "token_id").select("token_id", "token")
     postings = materialize(
         per_doc.join(lexicon, "token").select("token_id", "doc_id", F.size("positions").alias("freq"), "positions")
