@@ -76,3 +76,26 @@ def test_elite_rises_with_count(docs):
     rows = D.Scores(docs).all().where("token = 'beta'").collect()
     by = {r.tf: r.elite for r in rows}
     assert 0 <= by[1] < by[2] <= 1
+
+
+SLOW = [{1: 196, 2: 14, 3: 1}, {1: 232, 2: 14, 3: 1}, {1: 30, 2: 9, 3: 2, 7: 1}, {1: 60}]
+
+
+def test_fit_is_that_of_a_long_run():
+    total = 10_000
+    tf, n = (np.array(x, float) for x in zip(*[i for h in SLOW for i in h.items()], strict=True))
+    start = np.cumsum([0] + [len(h) for h in SLOW])[:-1]
+    alpha, beta = D.fit(tf, n, start, total)
+    for k, h in enumerate(SLOW):
+        x, c = np.array([0, *h], float), np.array([total - sum(h.values()), *h.values()], float)
+        mean = (x * c).sum() / total
+        pi, hi, lo = c[1:].sum() / total / 2, (x * c).sum() / c[1:].sum() + 0.5, mean / 2
+        for _ in range(30_000):
+            z = 1 / (1 + (1 - pi) / pi * np.exp(hi - lo - x * np.log(hi / lo)))
+            pi, lo, hi = (c * z).sum() / total, max((c * (1 - z) * x).sum() / (c * (1 - z)).sum(), 1e-30), (c * z * x).sum() / (c * z).sum()
+        assert 1 / (1 + np.exp(-(alpha[k] + beta[k] * x[1:]))) == pytest.approx(z[1:], abs=1e-3), h
+
+
+def test_unsettled_fit_is_marked():
+    h = np.array([470.0, 16.0])
+    assert np.isnan(D.fit(np.array([1.0, 2.0]), h, np.array([0]), 10_000, D.PLAIN + 1)[0][0])
