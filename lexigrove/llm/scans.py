@@ -3,8 +3,8 @@
 Three models are trained here, on samples of the corpus's own clean texts put through a simulated scan: a boosted
 ranker that tells for a word and a correction candidate whether it is one, and two classifiers that judge a line
 with its neighbours, for furniture and for words divided at the line's end. Candidates come from an inverted join
-on anchored character q-grams of words in a folded spelling, in which characters that scanners confuse are the
-same. Every count of words is over the whole corpus.
+on anchored character q-grams of words in a folded spelling, in which most characters that scanners confuse are the
+same, and on the whole word in a coarser one, in which all are. Every count of words is over the whole corpus.
 """
 
 from __future__ import annotations
@@ -324,25 +324,33 @@ def _fold_column(c: Column) -> Column:
     return F.translate(out, "cfa0i159b8n2", "etoollsghhrz")
 
 
+def _shape_column(folded: Column) -> Column:
+    """Of a folded word a still coarser spelling, the same for the two sides of every one of CONFUSIONS: h and li, m and in are alike too."""
+    return F.translate(F.replace(folded, F.lit("h"), F.lit("ll")), "r", "l")
+
+
 def _grams(df: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
-    """A row for each anchored gram of a folded word: its first, middle and last GRAM characters, with its length (and those beside it, as ``lengths`` says)."""
+    """A row for each key of a folded word: its first, middle and last GRAM characters with its length (and those beside it, as ``lengths`` says), and its whole shape."""
     f = F.col("folded")
     n = F.length(f)
     mid = F.greatest(F.floor((n - GRAM) / 2), F.lit(0)).cast("int")
     grams = [F.concat(F.lit("a"), F.substring(f, 1, GRAM)), F.concat(F.lit("m"), F.substr(f, mid + 1, F.lit(GRAM))), F.concat(F.lit("z"), F.right(f, F.lit(GRAM)))]
-    keys = F.array(*[F.struct(g.alias("gram"), (n + k).alias("len")) for g in grams for k in lengths])
+    keys = F.array(*[F.struct(g.alias("gram"), (n + k).alias("len")) for g in grams for k in lengths], F.struct(F.concat(F.lit("s"), _shape_column(f)).alias("gram"), F.lit(0).alias("len")))
     return df.withColumn("__k", F.explode(F.array_distinct(keys))).select("*", "__k.gram", "__k.len").drop("__k")
 
 
 def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
-    """token, cand and the counts of both: words of the dictionary that share an anchored gram and nearly a length with a suspect in folded spelling, and differ little.
+    """token, cand and the counts of both: words of the dictionary that share an anchored gram and nearly a length with a suspect in folded spelling, and differ little, or share its shape.
+
+    A word misread by CONFUSIONS only, however short it is and often they occur, has the shape of the true one. Other changes
+    are found by grams, thus in words of two grams or more for certain, and no model here is taught to accept them.
 
     ``suspects``: token, occ, df. A candidate is met TIMES as often as the suspect or more.
     """
     s = _grams(suspects.withColumn("folded", _fold_column(F.col("token"))), (0,))
     d = dictionary(words).select(F.col("term").alias("cand"), F.col("occ").alias("cocc"), F.col("df").alias("cdf"), _fold_column(F.col("term")).alias("cfold"))
     d = _grams(d.withColumnRenamed("cfold", "folded"), (-1, 0, 1)).withColumnRenamed("folded", "cfold")
-    close = F.levenshtein("folded", "cfold", 1) >= 0
+    close = (F.levenshtein("folded", "cfold", 1) >= 0) | (_shape_column(F.col("folded")) == _shape_column(F.col("cfold")))
     return (
         s.join(d, ["gram", "len"])
         .where((F.col("cand") != F.col("token")) & (F.col("cocc") >= F.col("occ") * TIMES) & close)

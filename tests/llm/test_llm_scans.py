@@ -51,6 +51,18 @@ def test_fold_hides_confusions():
     assert S.confusions_between("abc", "xyz") > 4 and S.confusions_between("abc", "abc") == 0
 
 
+@pytest.mark.parametrize("frame", ["t{}e", "w{}ter", "pheno{}enologicalstu{}pe"])
+def test_every_confusion_has_its_candidate(spark, frame):
+    true = {frame.replace("{}", b): frame.replace("{}", a) for a, b in S.CONFUSIONS if a.isalpha()}
+    true |= {frame.replace("{}", b, 1).replace("{}", a): frame.replace("{}", a) for a, b in S.CONFUSIONS if a.isalpha()}
+    pairs = [(t, w) for t, w in true.items() if w.isalpha()]
+    vocab = spark.createDataFrame([(w, 9, 9, 0) for w in sorted({w for _, w in pairs} | {"unrelated"})], "term string, occ long, df long, scan_occ long")
+    seen = spark.createDataFrame([(t, 1, 1) for t in sorted({t for t, _ in pairs})], "token string, occ long, df long")
+    got = {(r.token, r.cand) for r in S.candidates(seen, vocab).collect()}
+    assert not set(pairs) - got
+    assert not any(c == "unrelated" for _, c in got)
+
+
 def test_furniture_on_held_out_scans(corpus):
     clean = [(t, ti, v) for _, t, ti, v in corpus]
     head, page = S.fit_lines(clean[:130])
