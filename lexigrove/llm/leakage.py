@@ -60,18 +60,21 @@ class Automaton:
         self.auto.make_automaton()
 
     def leaks(self, text: str) -> Iterator[tuple[object, int, int]]:
-        """(item, start, end): items that ``text`` shares a run with, and the characters from the first run's start to the last one's end."""
+        """(item, start, end): items that ``text`` shares runs with, and the characters of each stretch of runs that overlap."""
         get = self.number.get
         ids = tuple([get(w, 0) for w in WORD.findall(text.lower())])
-        spans: dict[int, tuple[int, int]] = {}
+        spans: dict[int, list[tuple[int, int]]] = {}
         for end, found in self.auto.iter(ids):
             for at in found:
-                first = spans[at][0] if at in spans else end - self.run + 1
-                spans[at] = (first, end)
+                first, of = end - self.run + 1, spans.setdefault(at, [])
+                if of and first <= of[-1][1]:
+                    first = of.pop()[0]
+                of.append((first, end))
         if spans:
             places = _places(text)
-            for at, (a, b) in spans.items():
-                yield self.items[at], places[a][0], places[b][1]
+            for at, of in spans.items():
+                for a, b in of:
+                    yield self.items[at], places[a][0], places[b][1]
 
 
 def _places(text: str) -> list[tuple[int, int]]:
@@ -89,8 +92,8 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, start, end: documents that share ``run`` consecutive words or more with an item, and where in the text.
 
-    ``start`` and ``end`` bound all of the item's shared runs. Null, empty and shorter texts share nothing; an item
-    that occurs twice counts once a text. No document is compared with another, and nothing is shuffled.
+    One row for each stretch of the item's shared runs that overlap; stretches apart from each other are rows of their
+    own. Null, empty and shorter texts share nothing. No document is compared with another, and nothing is shuffled.
     """
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     rows = items.select(F.col(f"`{item_id}`"), F.col(f"`{item_text}`").cast("string")).distinct()

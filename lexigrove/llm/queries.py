@@ -25,7 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_found": lambda s, d: distinctive.Scores(docs(s, d)).most_weighted(),
         "p6_scores": lambda s, d: distinctive.distinctive_terms(docs(s, d)),
         "p8_packing": lambda s, d: packing.pack_documents(docs(s, d), table(s, d, "containers")),
-        "p9_found": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id"),
+        "p9_found": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
         "p9_passages": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")),
         "p10_found": lambda s, d: _bands(s, d).where(F.col("english") & F.col("band").isin(1, reading.BANDS)).select("doc_id", "band"),
         "p10_bands": _bands,

@@ -60,3 +60,12 @@ def test_empty(spark):
     it = spark.createDataFrame([(1, "a " * 20)], "item_id long, text string")
     assert L.leaks(df, it).count() == 1
     assert L.leaks(df.limit(0), it).count() == 0 and L.leaks(df, it.limit(0)).count() == 0
+
+
+def test_separate_passages_are_told_apart(spark):
+    item = [f"w{k}" for k in range(40)]
+    head, tail, other = " ".join(item[:14]), " ".join(item[26:]), "some other words " * 30
+    text = f"{head} {other}{tail}"
+    df, it = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = [(r.item_id, text[r.start : r.end]) for r in L.leaks(df, it).orderBy("start").collect()]
+    assert got == [(7, head), (7, tail)]
