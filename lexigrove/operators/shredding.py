@@ -167,6 +167,47 @@ def entries(nodes: DataFrame, label: str = "ref_entries", scalars: tuple[str, ..
     return e.select(F.col("record").alias("record_id"), F.col(f"`{KEY}`").alias("entry_key"), *scalars)
 
 
+def whole_records(nodes: DataFrame) -> DataFrame:
+    own = entity(nodes, ["record"], ["source_tag", "paper_id", "ingested_at"], 0)
+    meta = entity(nodes, ["metadata"], ["title"], 1)
+    return own.join(meta.select("record", "parent", "title"), parent_of(meta, own), "left").select(own["record"].alias("record_id"), "source_tag", "paper_id", "title", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"))
+
+
+#: Scalars of an author, of its affiliation, and of that one's location.
+_AUTHOR = (["first", "last", "suffix", "email"], ["laboratory", "institution"], ["addrLine", "country"])
+
+
+def _middle(nodes: DataFrame) -> DataFrame:
+    """record, parent, middle: the array of middle names of each author that has any, in order."""
+    m = nodes.where("label = 'middle'").groupBy("record", "parent").agg(F.sort_array(F.collect_list(F.struct("ordinal", "scalar"))).alias("m"))
+    return m.select("record", "parent", F.col("m.scalar").alias("middle"))
+
+
+def _with_middle(authors: DataFrame, nodes: DataFrame) -> DataFrame:
+    m = _middle(nodes).alias("m")
+    a = authors.alias("a")
+    return a.join(m, F.col("a.record").eqNullSafe(F.col("m.record")) & (F.col("a.node") == F.col("m.parent")), "left").select("a.*", "m.middle")
+
+
+def authors(nodes: DataFrame) -> DataFrame:
+    """Authors of records by record and place, null ones included, with all that is nested in them; ``middle`` is null where it is null or empty."""
+    own, affiliation, location = _AUTHOR
+    a = _with_middle(entity(nodes, ["authors"], own, 2).where("parent = '/metadata'"), nodes).alias("a")
+    f = entity(nodes, ["affiliation"], affiliation).alias("f")
+    at = entity(nodes, ["location"], location).alias("l")
+    under = lambda c, p: F.col(f"{c}.record").eqNullSafe(F.col(f"{p}.record")) & (F.col(f"{c}.parent") == F.col(f"{p}.node"))
+    both = a.join(f, under("f", "a"), "left").join(at, under("l", "f"), "left")
+    return both.select(F.col("a.record").alias("record_id"), F.col("a.ordinal").alias("author_no"), "first", "middle", "last", "suffix", *affiliation, *location, "email")
+
+
+def bib_authors(nodes: DataFrame) -> DataFrame:
+    """Authors of bibliography entries by record, entry and place, null ones included; ``middle`` is null where it is null or empty."""
+    a = _with_middle(entity(nodes, ["authors"], ["first", "last", "suffix"], 2), nodes).alias("a")
+    e = entity(nodes, ["bib_entries"], [KEY], 1).alias("e")
+    met = a.join(e, F.col("a.record").eqNullSafe(F.col("e.record")) & (F.col("a.parent") == F.col("e.node")))
+    return met.select(F.col("a.record").alias("record_id"), F.col(f"e.{KEY}").alias("entry_key"), F.col("a.ordinal").alias("author_no"), "first", "middle", "last", "suffix")
+
+
 def span_links(nodes: DataFrame) -> DataFrame:
     """record_id, area, block_no, span_no, entry_key: each reference span with the entry of its record that it names, or the empty string."""
     s = spans(nodes, scalars=("ref_id",)).alias("s")
@@ -183,6 +224,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def links(s: SparkSession, d: str) -> DataFrame:
         return span_links(paper_nodes(spread(s.read.schema(LINK_SCHEMA).parquet(f"{d}/papers.parquet"))))
 
+    def whole_spans(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+        whole = ("start", "end", "text", "ref_id")
+        return lambda s, d: spans(full(s, d, *AREAS), kind, whole).withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
+
     full = lambda s, d, *c: paper_nodes(spread(table(s, d, "papers").select("record_id", *c)), list(c))
     return {
         "p2_found": links,
@@ -192,4 +237,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_cite_spans": lambda s, d: spans(full(s, d, *AREAS), "cite_spans").withColumn("start", F.col("start").cast("int")),
         "p2_ref_entries": lambda s, d: entries(full(s, d, "ref_entries")),
         "p2_bib_entries": lambda s, d: entries(full(s, d, "bib_entries"), "bib_entries", ("title", "year", "venue")).withColumn("year", F.col("year").cast("int")),
+        # The tables above keep the columns of their SQL; these have every child.
+        "p2_whole_records": lambda s, d: whole_records(full(s, d, "source_tag", "paper_id", "metadata", "ingested_at")),
+        "p2_whole_ref_spans": whole_spans("ref_spans"),
+        "p2_whole_cite_spans": whole_spans("cite_spans"),
+        "p2_whole_ref_entries": lambda s, d: entries(full(s, d, "ref_entries"), scalars=("text", "latex", "type")),
+        "p2_whole_bib_entries": lambda s, d: entries(full(s, d, "bib_entries"), "bib_entries", ("ref_id", "title", "year", "venue", "volume", "issn", "pages")).withColumn("year", F.col("year").cast("int")),
+        "p2_authors": lambda s, d: authors(full(s, d, "metadata")),
+        "p2_bib_authors": lambda s, d: bib_authors(full(s, d, "bib_entries")),
     }

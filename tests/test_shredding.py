@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from lexigrove.operators import shredding as S
 
 SCHEMA = (
@@ -66,3 +68,32 @@ def test_other_schemas(spark):
     assert rows["/s/n"] == ("scalar", "3", 0) and rows["/s/t/u"] == ("scalar", "deep", 0) and rows["/s/t"][0] == "object"
     assert {rows[f"/m:{i}/@key"][1]: rows[f"/m:{i}/@value"][1] for i in (0, 1)} == {"a": "1", "b": None}
     assert rows["/aa:1"] == ("scalar", "[y, z]", 1)
+
+
+def test_whole_tables(spark, tmp_path):
+    person = "first:string,middle:array<string>,last:string,suffix:string"
+    schema = (
+        f"record_id long, source_tag string, paper_id string, metadata struct<title:string,authors:array<struct<{person},affiliation:struct<laboratory:string,institution:string,location:struct<addrLine:string,country:string>>,email:string>>>, "
+        + ", ".join(f"{a} array<struct<text:string,cite_spans:{S._SPAN},ref_spans:{S._SPAN},section:string>>" for a in S.AREAS)
+        + f", bib_entries map<string,struct<ref_id:string,title:string,authors:array<struct<{person}>>,year:int,venue:string,volume:string,issn:string,pages:string>>"
+        + ", ref_entries map<string,struct<text:string,latex:string,type:string>>, ingested_at timestamp_ntz"
+    )
+    when = datetime(2020, 1, 2, 3, 4, 5, 6)
+    one = ("A", ["m", None, "n"], "B", "Jr", ("lab", "inst", ("street", "land")), "a@b")
+    row = (1, "pmc", "P1", ("T", [one, None, ("C", [], "D", None, None, None)]), [("a", [(1, 2, "c", "B1")], [(3, None, "r", "F1")], "S")], None, None,
+           {"B1": ("b1", "t", [("E", ["x"], "F", "s")], 1999, "v", "7", "i", "1-2"), "B2": ("b2", None, None, None, None, None, None, None)}, {"F1": ("cap", "x^2", "figure")}, when)
+    bare = (None, "pdf", None, ("U", [("G", ["h"], None, None, (None, None, None), None)]), None, None, None, None, None, None)
+    spark.createDataFrame([row, bare], schema).write.parquet(f"file://{tmp_path}/papers.parquet")
+    got = {q: {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in f(spark, f"file://{tmp_path}").collect()} for q, f in S.queries().items() if "whole" in q or "authors" in q}
+    assert got == {
+        "p2_whole_records": {(1, "pmc", "P1", "T", when), (None, "pdf", None, "U", None)},
+        "p2_whole_ref_spans": {(1, "abstract", 0, 0, "S", 3, None, "r", "F1")},
+        "p2_whole_cite_spans": {(1, "abstract", 0, 0, "S", 1, 2, "c", "B1")},
+        "p2_whole_ref_entries": {(1, "F1", "cap", "x^2", "figure")},
+        "p2_whole_bib_entries": {(1, "B1", "b1", "t", 1999, "v", "7", "i", "1-2"), (1, "B2", "b2", None, None, None, None, None, None)},
+        "p2_authors": {
+            (1, 0, "A", ("m", None, "n"), "B", "Jr", "lab", "inst", "street", "land", "a@b"), (1, 1, *[None] * 9),
+            (1, 2, "C", None, "D", *[None] * 6), (None, 0, "G", ("h",), *[None] * 7),
+        },
+        "p2_bib_authors": {(1, "B1", 0, "E", ("x",), "F", "s")},
+    }
