@@ -53,6 +53,13 @@ def _lookup(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _print_all(rows: DataFrame) -> None:
+    """Every row in its order, tab-separated under a line of the column names; one partition at a time is in the driver."""
+    print(*rows.columns, sep="\t")
+    for r in rows.toLocalIterator():
+        print(*("" if x is None else x for x in r), sep="\t")
+
+
 def _barrel_report(spark: SparkSession, folder: str) -> DataFrame:
     size = store.read_index_table(spark, folder, "postings").groupBy("barrel_id").agg(F.countDistinct("token_id").alias("tokens"), F.sum(record_bytes(F.col("freq"))).alias("bytes"))
     return size.withColumn("size", human_size(F.col("bytes"))).orderBy(F.desc("bytes"), "barrel_id")
@@ -97,13 +104,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         if a.command == "validate":
             return _validate(spark, a.index)
         if a.command == "heavy":
-            store.read_index_table(spark, a.index, "heavy_manifest").show(truncate=False)
+            rows = store.read_index_table(spark, a.index, "heavy_manifest")
+            _print_all(rows.orderBy(F.desc("bytes"), "token_id") if rows.columns else rows)  # without heavy tokens the file has no columns
         elif a.command == "barrels":
-            _barrel_report(spark, a.index).show(100, truncate=False)
+            _print_all(_barrel_report(spark, a.index))
         elif a.command == "frequent":
             special = store.read_index_table(spark, a.index, "barrel_map").agg(F.max("barrel_id")).head()[0]
             ids = store.read_index_table(spark, a.index, "barrel_map").where(F.col("barrel_id") == special)
-            ids.join(store.read_index_table(spark, a.index, "lexicon"), "token_id", "left").orderBy("token_id").select("token_id", "token").show(1000, truncate=False)
+            _print_all(ids.join(store.read_index_table(spark, a.index, "lexicon"), "token_id", "left").orderBy("token_id").select("token_id", "token"))
         else:
             store.lookup_timings(spark, a.index).show(truncate=False)
         return 0

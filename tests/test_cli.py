@@ -55,3 +55,21 @@ def test_ids_of(stored, spark):
     ix = build_index(spark.createDataFrame([(1, "p", "b2 a1")], "n int, paper_id string, text string"), ["n"])
     got = ix.ids_of(spark.createDataFrame([("a1",), ("zz",), ("b2",)], "token string"))
     assert {r.token: r.token_id for r in got.collect()} == {"a1": 1, "zz": -1, "b2": 0}
+
+
+def test_reports_print_every_row(spark, capsys, monkeypatch):
+    n = 1500
+    tables = {
+        "barrel_map": spark.range(n).selectExpr("id AS token_id", "16 AS barrel_id"),
+        "lexicon": spark.range(n).selectExpr("id AS token_id", "concat('t', id) AS token"),
+        "heavy_manifest": spark.range(30).selectExpr("id * 7 % 30 AS token_id", "id * 7 % 30 div 2 AS bytes"),
+        "postings": spark.range(150).selectExpr("id AS token_id", "CAST(id AS INT) AS barrel_id", "1 AS freq"),
+    }
+    monkeypatch.setattr(cli.store, "read_index_table", lambda _, __, name: tables[name])
+    lines = {}
+    for command in ("heavy", "barrels", "frequent"):
+        assert cli.main([command, "x"], spark) == 0
+        lines[command] = [x.split("\t") for x in capsys.readouterr().out.splitlines()[1:]]
+    assert lines["frequent"] == [[str(i), f"t{i}"] for i in range(n)]
+    assert lines["heavy"] == [[str(i), str(i // 2)] for i in sorted(range(30), key=lambda i: (-(i // 2), i))]
+    assert [x[0] for x in lines["barrels"]] == [str(i) for i in range(150)]
