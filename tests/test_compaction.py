@@ -76,3 +76,40 @@ def test_damage_is_noticed(spark, tmp_path):
     path.write_bytes(data[:-1] + bytes([data[-1] ^ 1]))
     with pytest.raises(Exception, match="checksum"):
         C.read_containers(spark, folder, m).collect()
+
+
+def test_records_without_a_whole_key_are_kept(spark, tmp_path):
+    loose = [{"text": "a"}, {"text": "b"}, {"paper_id": "A", "text": "a"}, {"paper_id": "A", "text": "b"}, {"block_no": 1, "text": "a"}, {"paper_id": "A", "block_no": None, "text": "a"}]
+    typed = [rec("A", 3), rec("A", "3"), rec("A", 3.5), rec("A", [3]), rec("A", "x"), rec(5, 3), rec("5", 3)]
+    rows = files(json.dumps(loose), "\n".join(map(json.dumps, typed)), json.dumps(loose[:3]), json.dumps([{"text": "a", "deep": {"paper_id": "A", "block_no": 3}}]), r'{"paper_id": "A", "block_no": 3, "text": "t"}')
+    _, m, got = consolidated(spark, tmp_path, rows)
+    want = [*loose, *typed, {"text": "a", "deep": {"paper_id": "A", "block_no": 3}}]
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want))
+    assert m.agg({"records": "sum"}).head()[0] == len(want)
+
+
+def test_equal_keyless_objects_of_one_file_stay(spark, tmp_path):
+    _, _, got = consolidated(spark, tmp_path, files('{"text": "a"}\n{"text": "a"}', '{"text": "a"}'))
+    assert got == [{"text": "a"}] * 2
+
+
+def test_lines_and_frames_are_copied_as_they_are(spark, tmp_path):
+    import zstandard
+
+    lines = "".join(json.dumps(rec("A", k)) + "\n" for k in range(5)).encode()
+    frames = zstandard.ZstdCompressor(level=7).compress(lines.replace(b'"A"', b'"Z"'))
+    two = zstandard.compress(json.dumps(rec("Y", 0)).encode() + b"\n") + zstandard.compress(json.dumps(rec("Y", 1)).encode() + b"\n")
+    cut = zstandard.compress(json.dumps(rec("X", 0)).encode() + b"\n") + zstandard.compress(b"x" * 999)[:-3]
+    rows = [(n, "p", bytearray(c), T, "r", 0) for n, c in enumerate([b"\xef\xbb\xbf" + lines[:-1], frames, two, cut, b"[" + lines[:-1].replace(b"\n", b",\r\n") + b"]"])]
+    folder = f"file://{tmp_path}/out"
+    m = C.consolidate(spark.createDataFrame(rows, SCHEMA.replace("content string", "content binary")), folder)
+    got = [bytes(r.raw) for r in C.read_containers(spark, folder, m).collect()]
+    assert sorted(got) == sorted([*lines.splitlines(), *lines.replace(b'"A"', b'"Z"').splitlines(), *(json.dumps(rec(*k)).encode() for k in (("Y", 0), ("Y", 1), ("X", 0)))])
+    [path] = (tmp_path / "out").glob("bin-*.zst")
+    assert frames in path.read_bytes() and two in path.read_bytes()
+
+
+def test_stretches():
+    c = b'{"a":1}\n{"b":2}\n{"c":\n3}\n{"d":4},{"e":5}'
+    runs = list(C._stretches(c, list(C.object_slices(c))))
+    assert [(c[s:e], n) for s, e, n in runs] == [(b'{"a":1}\n{"b":2}', 2), (b'{"c":\n3}', 1), (b'{"d":4}', 1), (b'{"e":5}', 1)]
