@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import STOPWORDS
-from lexigrove.llm.frequency import FLUSH, words
+from lexigrove.llm.frequency import words
 from lexigrove.session import materialize
 
 #: Rounds of expectation and maximisation before Newton steps join them, and the most that a term may take.
@@ -27,8 +27,9 @@ TOLERANCE = 1e-7
 FLAT = 1e-11
 #: The rest's mean, where it goes to zero: this times the documents must be far less than one.
 LEAST_MEAN = 1e-30
-#: Share of documents from which on a term's parameters are broadcast: at most mean distinct terms a document / share of them.
+#: Share of documents from which on a term's model is broadcast, and the most models that are: where more terms are so common, only commoner ones.
 HEAD_SHARE = 0.001
+HEAD_ROWS = 200_000
 
 
 def _counts(text: str) -> Counter[str]:
@@ -39,27 +40,28 @@ def _counts(text: str) -> Counter[str]:
     return c
 
 
-def histograms(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, tf, documents: in how many documents each term occurs ``tf`` times, ``tf`` from 1; combined in each task before the shuffle."""
+def document_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, terms: the distinct terms of each document with their counts, an empty array for null and empty texts."""
+    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h: Counter[tuple[str, int]] = Counter()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in h], pa.string()), pa.array([k[1] for k in h], pa.int32()), pa.array(h.values(), pa.int64())], ["term", "tf", "documents"])
-            h.clear()
-            return b
-
         for b in batches:
-            for t in b.column(0).to_pylist():
+            at, tokens, tfs = [0], [], []
+            for t in b.column(1).to_pylist():
                 if t:
-                    h.update(_counts(t).items())
-            if len(h) > FLUSH:
-                yield out()
-        yield out()
+                    c = _counts(t)
+                    tokens += c
+                    tfs += c.values()
+                at.append(len(tokens))
+            terms = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(tfs, pa.int32())], ["token", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), terms)], ["doc_id", "terms"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, terms array<struct<token:string,tf:int>>")
 
-    parts = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "term string, tf int, documents long")
-    return parts.groupBy("term", "tf").agg(F.sum("documents").alias("documents"))
+
+def histograms(terms: DataFrame) -> DataFrame:
+    """term, tf, documents: in how many documents each term occurs ``tf`` times, ``tf`` from 1; combined in each task before the shuffle."""
+    return terms.select(F.inline("terms").alias("term", "tf")).groupBy("term", "tf").agg(F.count("*").alias("documents"))
 
 
 def _posterior(theta: np.ndarray, of: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,10 +169,10 @@ def fit(tf: np.ndarray, n: np.ndarray, start: np.ndarray, total: int, rounds: in
     return fitted[0] - (np.exp(fitted[1]) - np.exp(fitted[2])), fitted[1] - fitted[2]
 
 
-def term_models(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term, df, alpha, beta. A group is one term's histogram: as many entries as it has different counts."""
-    total = docs.count()
-    h = histograms(docs, text).groupBy("term").agg(F.sum("documents").alias("df"), F.collect_list(F.struct("tf", "documents")).alias("h"))
+def term_models(terms: DataFrame) -> DataFrame:
+    """term, df, alpha, beta of a table of :func:`document_terms`. A group is one term's histogram: as many entries as it has different counts."""
+    total = terms.count()
+    h = histograms(terms).groupBy("term").agg(F.sum("documents").alias("df"), F.collect_list(F.struct("tf", "documents")).alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,85 +193,57 @@ def elite(alpha: Column, beta: Column, tf: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(alpha + beta * tf)))
 
 
+def head_bound(models: DataFrame, total: int, share: float, most: int = HEAD_ROWS) -> float:
+    """Least number of documents of a term that is broadcast: ``share`` of all of them, or so much more that no more than ``most`` terms are."""
+    least = max(2.0, total * share)
+    while models.where(F.col("df") >= least).count() > most:
+        least *= 2
+    return least
+
+
 class Scores:
-    """Scores of every term of every document, in two parts.
+    """Scores of every term of every document. Texts are tokenized once, into a stored table of counts.
 
-    Terms in a fair share of documents are few whatever the corpus; their models are broadcast and no
+    Terms in a fair share of documents are few whatever the corpus; their models are broadcast, and no
     row of theirs is shuffled. The rest are each in few documents, so the join that brings their models
     has no hot key.
     """
 
-    PACKED = "doc_id {id}, terms array<struct<token:string,tf:int,df:long,alpha:double,beta:double>>"
-
-    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_share: float = HEAD_SHARE):
-        self.docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-        self.total = docs.count()
-        self.models = materialize(term_models(docs, text))
-        self.least = max(2.0, self.total * head_share)
-        spark = docs.sparkSession
-        rows = self.models.where(F.col("df") >= self.least).toArrow()
-        table = {t: k for k, t in enumerate(rows.column("term").to_pylist())}
-        self._head = spark.sparkContext.broadcast((table, *(np.asarray(rows.column(c)) for c in ("df", "alpha", "beta"))))
-
-    def head(self) -> DataFrame:
-        """doc_id and an array of its frequent terms with their models; documents without any have an empty array."""
-        head = self._head
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, df, alpha, beta = head.value
-            for b in batches:
-                at, tokens, ks, tfs = [0], [], [], []
-                for t in b.column(1).to_pylist():
-                    if t:
-                        c = _counts(t)
-                        for w in c.keys() & table.keys():
-                            tokens.append(w)
-                            ks.append(table[w])
-                            tfs.append(c[w])
-                    at.append(len(ks))
-                k = np.array(ks, np.int64)
-                terms = pa.StructArray.from_arrays(
-                    [pa.array(tokens, pa.string()), pa.array(tfs, pa.int32()), pa.array(df[k]), pa.array(alpha[k]), pa.array(beta[k])], ["token", "tf", "df", "alpha", "beta"]
-                )
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), terms)], ["doc_id", "terms"])
-
-        return self.docs.mapInArrow(run, self.PACKED.format(id=self.docs.schema["doc_id"].dataType.simpleString()))
-
-    def tail(self) -> DataFrame:
-        """doc_id, token, tf, df, alpha, beta of the other terms."""
-        head = self._head
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = head.value[0]
-            for b in batches:
-                take, tokens, tfs = [], [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    if t:
-                        c = _counts(t)
-                        for w in c.keys() - table.keys():
-                            take.append(i)
-                            tokens.append(w)
-                            tfs.append(c[w])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(tokens, pa.string()), pa.array(tfs, pa.int32())], ["doc_id", "token", "tf"])
-
-        rows = self.docs.mapInArrow(run, f"doc_id {self.docs.schema['doc_id'].dataType.simpleString()}, token string, tf int")
-        rest = self.models.where(F.col("df") < self.least).withColumnRenamed("term", "token")
-        return rows.join(rest, "token").select("doc_id", "token", "tf", "df", "alpha", "beta")
+    def __init__(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", head_share: float = HEAD_SHARE, head_rows: int = HEAD_ROWS):
+        self.terms = materialize(document_terms(docs, doc_id, text))
+        self.total = self.terms.count()
+        self.models = materialize(term_models(self.terms)).withColumnRenamed("term", "token")
+        self.least = head_bound(self.models, self.total, head_share, head_rows)
+        self._stored: DataFrame | None = None
 
     def all(self) -> DataFrame:
         """doc_id, token, tf, df, elite: one row for each term of each document."""
-        rows = self.head().select("doc_id", F.inline("terms")).unionByName(self.tail())
-        return rows.select("doc_id", "token", "tf", "df", elite(F.col("alpha"), F.col("beta"), F.col("tf")).alias("elite"))
+        rows = self.terms.select("doc_id", F.inline("terms"))
+        head = F.broadcast(self.models.where(F.col("df") >= self.least))  # at most head_rows
+        tail = self.models.where(F.col("df") < self.least)
+        few = rows.join(head.select("token"), "token", "left_anti").join(tail, "token")
+        score = elite(F.col("alpha"), F.col("beta"), F.col("tf")).alias("elite")
+        return rows.join(head, "token").unionByName(few).select("doc_id", "token", "tf", "df", score)
+
+    def stored(self) -> DataFrame:
+        """:meth:`all` as a stored table, for several uses."""
+        if self._stored is None:
+            self._stored = materialize(self.all())
+        return self._stored
 
     def most_weighted(self, least_df: int = 2) -> DataFrame:
-        """doc_id, token: of each document's terms in ``least_df`` documents or more the one with the greatest tf * ln(N / df), rounded to 6 decimals; of equals the smallest."""
+        """doc_id, token, elite: of each document's scored terms in ``least_df`` documents or more the one with the greatest tf * ln(N / df), rounded to 6 decimals; of equals the smallest."""
         # In whole millionths: rounding doubles to decimals goes through big decimals.
-        weight = lambda tf, df: -F.floor(tf * F.log(F.lit(float(self.total)) / df) * 1e6 + 0.5)
-        terms = F.col("terms") if least_df <= self.least else F.filter("terms", lambda t: t["df"] >= least_df)
-        packed = F.transform(terms, lambda t: F.struct(weight(t["tf"], t["df"]).alias("w"), t["token"].alias("token")))
-        head = self.head().select("doc_id", F.array_min(packed).alias("x")).where("x IS NOT NULL")
-        tail = self.tail().where(F.col("df") >= least_df).select("doc_id", F.struct(weight(F.col("tf"), F.col("df")).alias("w"), "token").alias("x"))
-        return head.unionByName(tail).groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", F.col("x.token").alias("token"))
+        weight = -F.floor(F.col("tf") * F.log(F.lit(float(self.total)) / F.col("df")) * 1e6 + 0.5)
+        best = F.min(F.struct(weight.alias("w"), "token", "elite"))
+        return self.stored().where(F.col("df") >= least_df).groupBy("doc_id").agg(best.alias("x")).select("doc_id", "x.token", "x.elite")
+
+    def agreement(self, least_df: int = 2) -> DataFrame:
+        """documents, same, mean_elite, least_elite: how many documents have a heaviest term, for how many of them no term's
+        posterior is greater than that term's, and the posteriors of the heaviest terms."""
+        top = self.stored().where(F.col("df") >= least_df).groupBy("doc_id").agg(F.max("elite").alias("most"))
+        both = self.most_weighted(least_df).join(top, "doc_id")
+        return both.agg(F.count("*").alias("documents"), F.count_if(F.col("elite") >= F.col("most")).alias("same"), F.avg("elite").alias("mean_elite"), F.min("elite").alias("least_elite"))
 
 
 def distinctive_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

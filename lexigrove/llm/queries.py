@@ -22,7 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_terms": lambda s, d: frequency.marked_terms(docs(s, d)),
         "p5_found": lambda s, d: scans.cases(_repaired(s, d)),
         "p5_repaired": lambda s, d: _repaired(s, d).select("doc_id", "text"),
-        "p6_found": lambda s, d: distinctive.Scores(docs(s, d)).most_weighted(),
+        "p6_found": lambda s, d: distinctive.Scores(docs(s, d)).most_weighted().select("doc_id", "token"),
+        "p6_agreement": lambda s, d: distinctive.Scores(docs(s, d)).agreement(),
         "p6_scores": lambda s, d: distinctive.distinctive_terms(docs(s, d)),
         "p8_packing": lambda s, d: packing.pack_documents(docs(s, d), table(s, d, "containers")),
         "p9_found": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),

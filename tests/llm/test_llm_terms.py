@@ -99,3 +99,19 @@ def test_fit_is_that_of_a_long_run():
 def test_unsettled_fit_is_marked():
     h = np.array([470.0, 16.0])
     assert np.isnan(D.fit(np.array([1.0, 2.0]), h, np.array([0]), 10_000, D.PLAIN + 1)[0][0])
+
+
+def test_head_is_bounded(docs):
+    want = {tuple(r) for r in D.Scores(docs).all().collect()}
+    s = D.Scores(docs, head_share=0.0, head_rows=1)
+    assert s.least > 2 and s.models.where(D.F.col("df") >= s.least).count() <= 1
+    assert {tuple(r) for r in s.all().collect()} == want
+
+
+def test_heaviest_terms_carry_their_posterior(docs):
+    s = D.Scores(docs)
+    score = {(r.doc_id, r.token): r.elite for r in s.all().collect() if r.doc_id != 5}
+    top = [r for r in s.most_weighted().collect() if r.doc_id != 5]
+    assert top and all(score[r.doc_id, r.token] == r.elite for r in top)
+    a = s.agreement().head()
+    assert a.documents == len(top) + 1 and 0 <= a.same <= a.documents and 0 <= a.least_elite <= a.mean_elite <= 1
