@@ -21,16 +21,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters that look alike, by script; a blank where a script has none.
-LATIN = "aceijopsxyABCEHIJKMNOPSTXYZhdqwv"
-CYRILLIC = "асеіјорѕхуАВСЕНІЈКМ ОРЅТХУ һԁԛԝѵ"
-GREEK = "     ο    ΑΒ ΕΗΙ ΚΜΝΟΡ ΤΧΥΖ     "
-SCRIPTS = ("latin", "cyrillic", "greek")
-
-# Hyphens that look like the plain one; line ends; marks that are ignorable without being format characters.
+from lexigrove.session import materialize
+
+# A letter, then the letters that look like it, of whatever script.
+LOOK_ALIKES = (
+    "aа", "cсⲥ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօⲟ", "pрⲣ", "qԛզ", "sѕ", "uս", "vѵν", "wԝ", "xх", "yуү", "æӕ", "əә",
+    "AАΑᎪꓮ", "BВΒᏴꓐ", "CСϹᏟⲤꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HНΗᎻⲎꓧ", "IІӀΙⲒꓲ", "JЈͿᎫꓙ", "KКΚᏦⲔꓗ", "LᏞꓡ", "MМΜϺᎷⲘꓟ", "NΝⲚꓠ", "OОΟՕⲞꓳ", "PРΡᏢⲢꓑ",
+    "QԚ", "RᎡꓣ", "SЅՏᏚꓢ", "TТΤᎢⲦꓔ", "UՍꓴ", "VѴᏙꓦ", "WԜᎳꓪ", "XХΧⲬꓫ", "YУҮΥⲨꓬ", "ZΖᏃꓜ", "ÆӔ", "ƏӘ", "ГΓⲄ", "ПΠⲠ", "ФΦⲪ",
+)
+#: Scripts by the code points of their letters. Of letters of one script that look alike the first stands for all.
+SCRIPTS = {
+    "latin": ((0x41, 0x250), (0x250, 0x2B0), (0x1E00, 0x1F00)), "cyrillic": ((0x400, 0x530),), "greek": ((0x370, 0x3E2), (0x3F0, 0x400), (0x1F00, 0x2000)),
+    "armenian": ((0x530, 0x590),), "cherokee": ((0x13A0, 0x1400), (0xAB70, 0xABC0)), "coptic": ((0x3E2, 0x3F0), (0x2C80, 0x2D00)), "lisu": ((0xA4D0, 0xA500),),
+}
+
+# Hyphens, apostrophes and blanks that look like the plain one; line ends; marks that are ignorable without being format characters.
 HYPHENS = "‐‑"
-LINE_ENDS = "\x85  "
-IGNORABLE_MARKS = "͏ᅟᅠ឴឵ㅤﾠ"
+APOSTROPHES = "ʼ"
+BLANKS = "\t\x0b\u2800"
+LINE_ENDS = "\x85\u2028\u2029"
+IGNORABLE_MARKS = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u180f\u3164\uffa0"
+#: Marks that stand on the letter before them: a letter is looked up without its accents.
+ACCENTS = "\u0300-\u036f"
 
 #: Code points below this are the alphabets that bigrams are counted over.
 ALPHABET = 0x530
@@ -38,12 +50,20 @@ SWITCH = -12.0  # log score of leaving a script within a word
 SMOOTH = 0.1
 
 
+def script_of(ch: str) -> str:
+    """Script of a letter; letters outside SCRIPTS are their own script, ``other``."""
+    o = ord(ch)
+    return next((s for s, ranges in SCRIPTS.items() if any(a <= o < b for a, b in ranges)), "other")
+
+
 def _variants() -> dict[str, dict[str, str]]:
     """For each look-alike letter the letter of each script in its place."""
     out: dict[str, dict[str, str]] = {}
-    for l, c, g in zip(LATIN, CYRILLIC, GREEK, strict=False):
-        group = {s: x for s, x in zip(SCRIPTS, (l, c, g), strict=True) if x != " "}
-        for x in group.values():
+    for letters in LOOK_ALIKES:
+        group: dict[str, str] = {}
+        for x in letters:
+            group.setdefault(script_of(x), x)
+        for x in letters:
             out[x] = group
     return out
 
@@ -51,16 +71,6 @@ def _variants() -> dict[str, dict[str, str]]:
 VARIANTS = _variants()
 
 
-def script_of(ch: str) -> str:
-    """Script of a letter; letters outside the three scripts are their own script, ``other``."""
-    o = ord(ch)
-    if o < 0x250 or 0x1E00 <= o < 0x1F00:
-        return "latin"
-    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return "greek"
-    return "cyrillic" if 0x400 <= o < 0x530 else "other"
-
-
 class _Plain(dict):
     """Translation table, filled as characters occur: ignorables vanish, blanks and hyphens become plain ones."""
 
@@ -71,10 +81,12 @@ class _Plain(dict):
             to = None
         elif ch in LINE_ENDS:
             to = 10
-        elif cat == "Zs" or ch in "\t\x0b":
+        elif cat == "Zs" or ch in BLANKS:
             to = 32
         elif ch in HYPHENS:
             to = 45
+        elif ch in APOSTROPHES:
+            to = 0x2019
         else:
             to = o
         self[o] = to
@@ -82,7 +94,8 @@ class _Plain(dict):
 
 
 _PLAIN = _Plain()
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{ACCENTS}])*")
+_ACCENT = re.compile(f"[{ACCENTS}]")
 
 
 def plain(text: str) -> str:
@@ -107,27 +120,32 @@ class LookAlikes:
         return log((self.counts.get((a, b), 0) + SMOOTH) / (self.total.get(a, 0) + SMOOTH * ALPHABET))
 
     def _word(self, word: str, scripts: tuple[str, ...]) -> str:
-        """Best path through the lattice of ``word``, whose letters may be taken from ``scripts``; equal scores go to the earlier script."""
-        best: list[tuple[float, str, str]] = [(0.0, "", "")]  # score, path, script
+        """Best path through the lattice of ``word``, whose letters may be taken from ``scripts``; equal scores go to the earlier script.
+
+        Accents stay. A look-alike that none of the scripts has is the first of its group, whichever of them was stored.
+        """
+        best: list[tuple[float, str, str, str]] = [(0.0, "", "", "")]  # score, path, script, last letter
         for ch in word:
+            if _ACCENT.match(ch):
+                best = [(sc, path + ch, at, last) for sc, path, at, last in best]
+                continue
             group = VARIANTS.get(ch)
-            cands = [(s, group[s]) for s in scripts if s in group] if group else []
-            cands = cands or [(script_of(ch), ch)]
+            cands = ([(s, group[s]) for s in scripts if s in group] or list(group.items())[:1]) if group else [(script_of(ch), ch)]
             step = []
             for s, x in cands:
-                step.append(max(((sc + self._score(path[-1:], x) + (SWITCH if at and at != s else 0.0), path + x, s) for sc, path, at in best), key=lambda t: t[0]))
+                step.append(max(((sc + self._score(last, x) + (SWITCH if at and at != s else 0.0), path + x, s, x) for sc, path, at, last in best), key=lambda t: t[0]))
             best = step
-        return max(((sc + self._score(path[-1:], ""), path) for sc, path, _ in best), key=lambda t: t[0])[1]
+        return max(((sc + self._score(last, ""), path) for sc, path, _, last in best), key=lambda t: t[0])[1]
 
     def text(self, text: str) -> str:
         """Canonical form of ``text``. The scripts considered are those with a letter that no other script shares, or all where there is none."""
         out = plain(text)
-        odd = set(out)
-        anchors = {script_of(c) for c in odd if c not in VARIANTS and c.isalpha()} & set(SCRIPTS)
-        scripts = tuple(s for s in SCRIPTS if s in anchors) or SCRIPTS
-        if len(scripts) == 1 and all(script_of(c) == scripts[0] for c in odd if c in VARIANTS and scripts[0] in VARIANTS[c]):
+        odd = set(unicodedata.normalize("NFD", "".join(set(out))))
+        anchors = {script_of(c) for c in odd if c not in VARIANTS and c.isalpha()}
+        scripts = tuple(s for s in SCRIPTS if s in anchors) or tuple(SCRIPTS)
+        if len(scripts) == 1 and all(VARIANTS[c].get(scripts[0], next(iter(VARIANTS[c].values()))) == c for c in odd if c in VARIANTS):
             return out
-        return _LETTERS.sub(lambda m: self.word(m.group(), scripts), out)
+        return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self.word(m.group(), scripts), unicodedata.normalize("NFD", out)))
 
 
 def bigram_counts(docs: DataFrame, text: str = "text") -> dict[tuple[str, str], int]:
@@ -164,13 +182,12 @@ def _chunks(texts: list[str | None], size: int = 1 << 20) -> Iterator[str]:
         yield "\n".join([*part, ""])
 
 
-#: Texts that are their own canonical form: nothing but these characters, which NFKC keeps ...
-_AS_IS = r"^[\n\f\x20-\x7EÀ-ÖØ-öø-įĴ-ľŁ-ňŊ-žƀ-ƿ°“”‘’–—±×§]*$"
+#: Texts that are their own canonical form: nothing but these characters to the very end, which NFKC keeps ...
+_AS_IS = r"^[\n\f\x20-\x7EÀ-ÖØ-öø-įĴ-ľŁ-ňŊ-žƀ-ƿ°“”‘’–—±×§]*\z"
 #: ... and a letter that only Latin has.
-_ANCHOR = f"[a-zA-ZÀ-ÖØ-öø-ž&&[^{LATIN}]]"
+_ANCHOR = "[" + "".join(c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in VARIANTS) + "]"
 
-
-_VISIBLE = r"[^\s\p{Z}\p{Cc}\p{Cf}͏ᅟᅠ឴឵ㅤﾠ]"
+_VISIBLE = rf"[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}\u2800{IGNORABLE_MARKS}]"
 
 
 def canonical(docs: DataFrame, text: str = "text", to: str = "canonical", counts: dict[tuple[str, str], int] | None = None) -> DataFrame:
@@ -203,23 +220,34 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def look_alike_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, spellings: each document with the smallest id among those that look like it, and how many different strings they are."""
-    c = _classes(docs, doc_id, text)
-    heads = c.groupBy("look", "raw").agg(F.min("doc_id").alias("m")).groupBy("look").agg(F.min("m").alias("class_id"), F.count("*").alias("spellings"))
-    return c.join(heads, "look").select("doc_id", "class_id", "spellings")
+    """doc_id, class_id, spelling_id, spellings: each document with the smallest id among those that look like it and among those that are
+    the same string, and how many different strings the class has.
+
+    Its links are the pairs of different spelling_id with one class_id, with doc_id as membership: no pair of copies is
+    made. Both joins have a class or spelling once on one side, so that a hot one is split on the other.
+    """
+    c = materialize(_classes(docs, doc_id, text))
+    heads = c.groupBy("look", "raw").agg(F.min("doc_id").alias("spelling_id"))
+    whole = heads.groupBy("look").agg(F.min("spelling_id").alias("class_id"), F.count("*").alias("spellings"))
+    return c.join(heads.join(whole, "look"), ["look", "raw"]).select("doc_id", "class_id", "spelling_id", "spellings")
+
+
+def unstable(docs: DataFrame, text: str = "text") -> DataFrame:
+    """documents, changed: how many rows there are, and how many canonical forms are not their own canonical form: none."""
+    counts = bigram_counts(docs, text)
+    once = canonical(docs.select(F.col(f"`{text}`").alias("text")), "text", "once", counts)
+    return canonical(once, "once", "twice", counts).agg(F.count("*").alias("documents"), F.count_if(~F.col("once").eqNullSafe(F.col("twice"))).alias("changed"))
 
 
 def look_alike_pairs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id_a, doc_id_b (smaller first): documents that look the same but are different strings.
+    """doc_id_a, doc_id_b (smaller first): all pairs of documents that look the same but are different strings.
 
-    Classes with one spelling, however many copies they have, are left before any join; the rest are
+    Where a class may hold very many copies, :func:`look_alike_classes` says the same without pairs. Classes with one spelling, however many copies they have, are left before any join; the rest are
     joined spelling by spelling, so no row is made that is not a pair of the result. Rows that repeat an
     id count once.
     """
-    from lexigrove.session import materialize
-
     c = materialize(_classes(docs, doc_id, text).distinct())
-    spellings = c.groupBy("look", "raw").agg(F.count("*").alias("n")).drop("n")
+    spellings = c.select("look", "raw").distinct()
     several = spellings.groupBy("look").agg(F.count("*").alias("k")).where("k > 1").select("look")
     s = spellings.join(several, "look")
     two = s.select("look", F.col("raw").alias("ra")).join(s.select("look", F.col("raw").alias("rb")), "look").where("ra < rb")

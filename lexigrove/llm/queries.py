@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: canonical.look_alike_pairs(docs(s, d)),
         "p1_canonical": lambda s, d: canonical.canonical(docs(s, d), to="text"),
+        "p1_stable": lambda s, d: canonical.unstable(docs(s, d)),
         "p1_classes": lambda s, d: canonical.look_alike_classes(docs(s, d)),
         "p4_found": lambda s, d: frequency.marked_terms(docs(s, d)).where("mark IS NOT NULL").select("token", "mark"),
         "p4_terms": lambda s, d: frequency.marked_terms(docs(s, d)),
@@ -53,6 +54,7 @@ def _runs(t: str, key: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_stable": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS changed FROM documents",
         "p4_found": f"SELECT token, mark FROM ({_TERMS}) WHERE mark IS NOT NULL",
         "p4_terms": _TERMS,
         "p6_found": f"""WITH {_OCC}, d AS (SELECT token, count(*) AS df FROM occ GROUP BY token)
