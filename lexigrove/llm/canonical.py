@@ -26,7 +26,7 @@ from lexigrove.session import materialize
 # A letter, then the letters that look like it, of whatever script.
 LOOK_ALIKES = (
     "aа", "cсⲥ", "dԁ", "eе", "gɡց", "hһհ", "iі", "jјϳ", "lӏ", "nո", "oоοօⲟ", "pрⲣ", "qԛզ", "sѕ", "uս", "vѵν", "wԝ", "xх", "yуү", "æӕ", "əә",
-    "AАΑᎪꓮ", "BВΒᏴꓐ", "CСϹᏟⲤꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HНΗᎻⲎꓧ", "IІӀΙⲒꓲ", "JЈͿᎫꓙ", "KКΚᏦⲔꓗ", "LᏞꓡ", "MМΜϺᎷⲘꓟ", "NΝⲚꓠ", "OОΟՕⲞꓳ", "PРΡᏢⲢꓑ",
+    "AАΑᎪꓮ", "BВΒᏴꓐ", "CСᏟⲤꓚ", "DᎠꓓ", "EЕΕᎬꓰ", "FϜꓝ", "GԌᏀꓖ", "HНΗᎻⲎꓧ", "IІӀΙⲒꓲ", "JЈͿᎫꓙ", "KКΚᏦⲔꓗ", "LᏞꓡ", "MМΜϺᎷⲘꓟ", "NΝⲚꓠ", "OОΟՕⲞꓳ", "PРΡᏢⲢꓑ",
     "QԚ", "RᎡꓣ", "SЅՏᏚꓢ", "TТΤᎢⲦꓔ", "UՍꓴ", "VѴᏙꓦ", "WԜᎳꓪ", "XХΧⲬꓫ", "YУҮΥⲨꓬ", "ZΖᏃꓜ", "ÆӔ", "ƏӘ", "ГΓⲄ", "ПΠⲠ", "ФΦⲪ",
 )
 #: Scripts by the code points of their letters. Of letters of one script that look alike the first stands for all.
