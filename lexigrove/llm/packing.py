@@ -42,16 +42,24 @@ def _encoding(path: str):
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, tokens: the length of each text in tokens, 0 for null and empty ones. ``tokenizer`` is a path that every executor can read."""
+    """doc_id, digest, tokens: a digest of each text and its length in tokens, 0 for null and empty ones. ``tokenizer`` is a path that every executor can read."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(tokenizer)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["doc_id", "digest", "tokens"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, tokens long")
+    return rows.withColumn("digest", F.md5("text")).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest string, tokens long")
+
+
+def _items(counts: DataFrame) -> DataFrame:
+    """doc_id, tokens, row: each text with a name that hangs on its id and characters alone; repeated rows, which are counted before the shuffle, are numbered."""
+    n = counts.groupBy("doc_id", "digest", "tokens").agg(F.count("*").alias("copies"))
+    copy = n.select("doc_id", "digest", "tokens", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    name = F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("digest", F.lit("")), F.col("copy").cast("string")))
+    return copy.select("doc_id", "tokens", name.alias("row"))
 
 
 def differencing(sizes: list[int], k: int) -> list[tuple[int, list[int]]]:
@@ -108,12 +116,12 @@ def pack_documents(
     ``containers``: container_kind, capacity_tokens; a small table of kinds, of which rows with a null or no positive
     capacity are ignored. A text longer than the capacity is divided into full pieces and a rest, no other one
     is; a full piece is a container of its own. Null and empty texts are items of size 0. Rows that
-    repeat an id are items of their own.
+    repeat an id are items of their own. Shards and containers hang on ids and texts, not on how the table is partitioned.
     """
     kinds = {r[0]: r[1] for r in containers.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().collect()}
     id_type = docs.schema[doc_id].dataType.simpleString()
     schema = PACKED.format(id=id_type)
-    sizes = materialize(token_counts(docs, doc_id, text, tokenizer).withColumn("row", F.monotonically_increasing_id()))
+    sizes = materialize(_items(token_counts(docs, doc_id, text, tokenizer)))
     if not kinds:
         return sizes.limit(0).select(F.lit("").alias("container_kind"), F.lit("").alias("container_id"), "doc_id", F.lit(0).alias("piece_no"), F.lit(0).cast("long").alias("token_start"), F.lit(0).cast("long").alias("token_end"))
     n = F.col("tokens")
@@ -128,7 +136,7 @@ def pack_documents(
     whole = F.when(F.col("tokens") > cap, F.floor(F.col("tokens") / cap)).otherwise(0)
     full = spread.where(whole > 0).select("container_kind", "capacity", "doc_id", "row", F.explode(F.sequence(F.lit(0), (whole - 1).cast("int"))).alias("piece_no")).select(
         "container_kind",
-        F.concat_ws("-", "container_kind", F.lit("full"), F.col("row").cast("string"), F.col("piece_no").cast("string")).alias("container_id"),
+        F.concat_ws("-", "container_kind", F.lit("full"), "row", F.col("piece_no").cast("string")).alias("container_id"),
         "doc_id", "piece_no", (F.col("piece_no") * cap).alias("token_start"), ((F.col("piece_no") + 1) * cap).alias("token_end"),
     )
     rest = spread.select("container_kind", "capacity", "shard", "doc_id", "row", whole.cast("int").alias("piece_no"), "tokens", (F.col("tokens") - whole * cap).alias("size")).where(
@@ -155,3 +163,18 @@ def fill(packed: DataFrame, containers: DataFrame) -> DataFrame:
     return per.join(F.broadcast(containers.select("container_kind", "capacity_tokens")), "container_kind").select(
         "container_kind", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill")
     )
+
+
+def faults(packed: DataFrame, containers: DataFrame) -> DataFrame:
+    """container_kind, texts, over_capacity, divided_in_vain, gaps: how many texts were packed into containers of each kind, and how many
+    containers hold more than they can, texts that would have fit are divided, and divided texts have a place in no piece or two: none of each."""
+    cap = containers.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("long").alias("cap")).distinct()
+    size = F.col("token_end") - F.col("token_start")
+    over = packed.groupBy("container_kind", "container_id").agg(F.sum(size).alias("n")).join(F.broadcast(cap), "container_kind").groupBy("container_kind").agg(F.count_if(F.col("n") > F.col("cap")).alias("over_capacity"))
+    text = packed.groupBy("container_kind", "doc_id").agg(F.sum(size).alias("n"), F.max("token_end").alias("whole"), F.count_if(F.col("token_start") == 0).alias("copies"), F.count("*").alias("pieces"))
+    each = text.join(F.broadcast(cap), "container_kind").groupBy("container_kind").agg(
+        F.sum("copies").alias("texts"),
+        F.count_if((F.col("pieces") > F.col("copies")) & (F.col("whole") <= F.col("cap"))).alias("divided_in_vain"),
+        F.count_if((F.col("copies") == 1) & (F.col("n") != F.col("whole"))).alias("gaps"),
+    )
+    return each.join(over, "container_kind").select("container_kind", "texts", "over_capacity", "divided_in_vain", "gaps")

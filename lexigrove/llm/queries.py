@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.llm import canonical, distinctive, frequency, leakage, packing, reading, scans
-from lexigrove.plans.oracles import token_list
+from lexigrove.plans.oracles import normalized, token_list
 from lexigrove.sources.tables import spread, table
 
 
@@ -27,8 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_agreement": lambda s, d: distinctive.Scores(docs(s, d)).agreement(),
         "p6_scores": lambda s, d: distinctive.distinctive_terms(docs(s, d)),
         "p8_packing": lambda s, d: packing.pack_documents(docs(s, d), table(s, d, "containers")),
+        "p8_check": lambda s, d: packing.faults(packing.pack_documents(docs(s, d), table(s, d, "containers")), table(s, d, "containers")),
         "p9_found": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id").distinct(),
-        "p9_passages": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")),
+        "p9_passages": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id", "start", "end"),
+        "p9_runs": lambda s, d: leakage.leaks(docs(s, d), table(s, d, "eval_items")).select("doc_id", "item_id", "first_word", "last_word"),
         "p10_found": lambda s, d: _bands(s, d).where(F.col("english") & F.col("band").isin(1, reading.BANDS)).select("doc_id", "band"),
         "p10_bands": _bands,
     }
@@ -48,8 +50,11 @@ _TERMS = f"""WITH {_OCC} SELECT token, CAST(sum(tf) AS BIGINT) AS occurrences, c
 
 
 def _runs(t: str, key: str) -> str:
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS run FROM
-        (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"""
+    return f"""SELECT DISTINCT {key}, i, array_to_string(w[i:i + 11], ' ') AS run FROM
+        (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all({normalized('text')}, '[\\p{{L}}\\p{{N}}]+') AS w FROM {t}))"""
+
+
+_SHARED = f"SELECT DISTINCT doc_id, item_id, d.i AS i FROM ({_runs('documents', 'doc_id')}) d JOIN ({_runs('eval_items', 'item_id')}) e USING (run)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,5 +65,9 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"""WITH {_OCC}, d AS (SELECT token, count(*) AS df FROM occ GROUP BY token)
             SELECT doc_id, token FROM occ JOIN d USING (token) WHERE df >= 2
             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln((SELECT count(*) FROM documents) / df), 6) DESC, token) = 1""",
-        "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id')}) JOIN ({_runs('eval_items', 'item_id')}) USING (run)",
+        "p8_check": "SELECT container_kind, (SELECT count(*) FROM documents) AS texts, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS divided_in_vain, CAST(0 AS BIGINT) AS gaps FROM containers WHERE capacity_tokens > 0",
+        "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_SHARED})",
+        "p9_runs": f"""SELECT doc_id, item_id, CAST(min(i) - 1 AS INTEGER) AS first_word, CAST(max(i) + 10 AS INTEGER) AS last_word
+            FROM (SELECT *, sum(CASE WHEN i - before <= 11 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS stretch
+                  FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS before FROM ({_SHARED}))) GROUP BY doc_id, item_id, stretch""",
     }

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from lexigrove.llm import leakage as L
 
@@ -69,3 +70,27 @@ def test_separate_passages_are_told_apart(spark):
     df, it = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = [(r.item_id, text[r.start : r.end]) for r in L.leaks(df, it).orderBy("start").collect()]
     assert got == [(7, head), (7, tail)]
+
+
+def test_normal_forms_on_both_sides(spark):
+    base = ["naïve", "ﬁne", "Ångström", "x²", "São", "voilà", "한국", "Große", "ünder", "über", "coöp", "déjà"]
+    item = " ".join(base)
+    docs = [(1, unicodedata.normalize("NFD", item).upper()), (2, "[[" + unicodedata.normalize("NFKC", item) + "]]"), (3, unicodedata.normalize("NFC", item)), (4, "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in item))]
+    docs = [(i, f"è́ x {t} tail") for i, t in docs]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in L.leaks(df, it).collect()}
+    text = dict(docs)
+    assert set(got) >= {2, 3, 4}
+    for i, r in got.items():
+        part = text[i][r.start : r.end]
+        assert L.normal_words(part) == L.normal_words(text[i])[r.first_word : r.last_word + 1] and len(L.normal_words(part)) == 12
+        assert not part[:1].isspace() and not part[-1:].isspace()
+
+
+def test_automaton_stays_in_the_worker():
+    class Shared:
+        value = [(1, [f"w{k}" for k in range(12)])]
+
+    a = L._automaton("k", 0, Shared, 12)
+    assert L._automaton("k", 0, Shared, 12) is a
+    assert L._automaton("other", 0, Shared, 12) is not a and len(L._kept) == 1

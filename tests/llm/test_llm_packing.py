@@ -58,11 +58,21 @@ def test_packing(packed):
 
 def test_same_result_again(packed):
     docs, kinds, rows = packed
-    again = P.pack_documents(docs, kinds).collect()
-    by = lambda x: sorted((r.container_kind, r.doc_id, r.token_start, r.token_end) for r in x)
+    again = P.pack_documents(docs.repartition(7), kinds).collect()
+    by = lambda x: sorted(map(tuple, x))
     assert by(again) == by(rows)
 
 
+def test_faults(packed):
+    docs, kinds, rows = packed
+    spark = docs.sparkSession
+    schema = "container_kind string, container_id string, doc_id long, piece_no int, token_start long, token_end long"
+    good = P.faults(spark.createDataFrame(rows, schema), kinds).collect()
+    assert {tuple(r) for r in good} == {(k, docs.count(), 0, 0, 0) for k in ("small", "large")}
+    bad = [("small", "a", 1, 0, 0, 60), ("small", "a", 2, 0, 0, 60), ("small", "b", 3, 0, 0, 10), ("small", "b", 3, 1, 10, 20), ("small", "c", 4, 0, 0, 64), ("small", "d", 4, 1, 70, 80)]
+    assert [tuple(r) for r in P.faults(spark.createDataFrame(bad, schema), kinds).collect()] == [("small", 4, 1, 1, 1)]
+
+
 def test_empty(packed):
     docs, kinds, _ = packed
     assert P.pack_documents(docs.limit(0), kinds).count() == 0
