@@ -16,14 +16,15 @@ def human_size(n: Column) -> Column:
     return F.when(n.isNotNull(), out)
 
 
-def file_stem(path: Column) -> Column:
-    """File name without folder and last suffix."""
-    return F.regexp_replace(F.element_at(F.split(F.url_decode(path), "/"), -1), r"(?<=.)\.[^.]*$", "")
+def file_stem(path: Column, encoded: bool = True) -> Column:
+    """File name without folder and last suffix. ``encoded``: the path is a URI's, whose percent escapes are read; a plus sign is one."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))) if encoded else path
+    return F.regexp_replace(F.element_at(F.split(plain, "/"), -1), r"(?<=.)\.[^.]*$", "")
 
 
-def file_key(path: Column) -> Column:
+def file_key(path: Column, encoded: bool = True) -> Column:
     """File name up to its first dot: the key by which the same paper is known in several folders."""
-    return F.element_at(F.split(file_stem(path), r"\."), 1)
+    return F.element_at(F.split(file_stem(path, encoded), r"\."), 1)
 
 
 def non_empty(c: Column) -> Column:

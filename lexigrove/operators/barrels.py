@@ -65,9 +65,11 @@ class Barrels:
         return n.crossJoin(t).select("documents_indexed", "tokens_assigned", F.col("tokens_assigned").alias("unique_tokens_seen"))  # one row each
 
     def postings(self) -> DataFrame:
-        """Postings with their barrel_id; tokens missing from the map fall to ``token_id % num_barrels``."""
-        barrels = self.barrel_map().select("token_id", "barrel_id")
-        return assign_barrel(self.index.postings, barrels, self.num_barrels)
+        """Postings with their barrel_id; tokens missing from the map fall to ``token_id % num_barrels``. Hot tokens get theirs by a broadcast."""
+        of = self.barrel_map()
+        hot = F.broadcast(of.where(F.col("doc_freq") >= self.index.least).select("token_id", "barrel_id"))  # at most HOT_ROWS
+        rare = of.where(F.col("doc_freq") < self.index.least).select("token_id", "barrel_id")
+        return assign_barrel(self.index.hot, hot, self.num_barrels).unionByName(assign_barrel(self.index.rare, rare, self.num_barrels))
 
     def frequency_barrel(self) -> DataFrame:
         """token_id and word of the special barrel; a token without a word is called ``UNKNOWN_<id>``."""

@@ -6,10 +6,11 @@ token numbers, postings. The order of documents is that of the column given as `
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,10 @@ from lexigrove.session import materialize
 
 #: Document numbers in one row of an inverted list.
 BLOCK = 1 << 16
+#: Share of documents from which on a token is hot: its number is broadcast, and no row of its is shuffled by token. At most HOT_ROWS tokens are;
+#: where more are so common, only commoner ones.
+HOT_SHARE = 0.001
+HOT_ROWS = 200_000
 
 
 class EmptyCorpus(ValueError):
@@ -28,15 +33,29 @@ class EmptyCorpus(ValueError):
 
 @dataclass
 class Index:
-    """``docs``: doc_id, paper_id, tokens. ``lexicon``: token_id, token. ``postings``: token_id, doc_id, freq, positions.
+    """``docs``: doc_id, paper_id, tokens. ``lexicon``: token_id, token, doc_freq. ``hot``, ``rare``: token_id, doc_id, freq, positions
+    of tokens in at least ``least`` documents, and of the others; both are stored with each file sorted by token.
 
     ``skipped`` counts the source documents without a token; they take no number.
     """
 
     docs: DataFrame
     lexicon: DataFrame
-    postings: DataFrame
+    hot: DataFrame
+    rare: DataFrame
     sources: int
+    least: float
+
+    @property
+    def postings(self) -> DataFrame:
+        """token_id, doc_id, freq, positions. A filter on token_id reaches both scans and skips the pages of other tokens."""
+        return self.hot.unionByName(self.rare)
+
+    def by_token(self, pairs: DataFrame, of_tokens: DataFrame, key: str = "token") -> DataFrame:
+        """``pairs`` of documents and tokens joined with a table of tokens that has doc_freq: hot tokens by a broadcast, the others, none of them in many rows, by a shuffle."""
+        hot = F.broadcast(of_tokens.where(F.col("doc_freq") >= self.least))  # at most HOT_ROWS
+        rest = pairs.join(hot.select(key), key, "left_anti").join(of_tokens.where(F.col("doc_freq") < self.least), key)
+        return pairs.join(hot, key).unionByName(rest)
 
     @property
     def spark(self):
@@ -60,11 +79,11 @@ class Index:
         return pairs.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["token_id"]).alias("token_ids"))
 
     def doc_freq(self) -> DataFrame:
-        return self.postings.groupBy("token_id").agg(F.count("*").alias("doc_freq"))
+        return self.lexicon.select("token_id", "doc_freq")
 
     def ids_of(self, terms: DataFrame, term: str = "token") -> DataFrame:
         """``terms`` with the column token_id, -1 for terms that the lexicon lacks; it is not changed."""
-        known = self.lexicon.withColumnRenamed("token", "__token")
+        known = self.lexicon.select("token_id", F.col("token").alias("__token"))
         return terms.join(known, F.col(term) == F.col("__token"), "left").drop("__token").withColumn("token_id", F.coalesce("token_id", F.lit(-1)))
 
     def inverted(self, block: int = BLOCK) -> DataFrame:
@@ -107,18 +126,30 @@ class Index:
         )
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, token, positions: each token of a document once, without a shuffle, as a document is one row."""
-    for b in batches:
-        take, tokens, places = [], [], []
-        for i, doc in enumerate(b.column(1).to_pylist()):
-            at: dict[str, list[int]] = {}
-            for k, t in enumerate(doc):
-                at.setdefault(t, []).append(k)
-            take += [i] * len(at)
-            tokens += at
-            places += at.values()
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take, pa.int64())), pa.array(tokens, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["doc_id", "token", "positions"])
+PAIR = "doc_id long, token_id long, token string, positions array<int>, hot boolean"
+
+
+def _positions(numbers: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """PAIR: each token of a document once, without a shuffle, as a document is one row; ``numbers`` of hot tokens, the others keep their token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = numbers.value
+        for b in batches:
+            take, ids, tokens, places = [], [], [], []
+            for i, doc in enumerate(b.column(1).to_pylist()):
+                at: dict[str, list[int]] = {}
+                for k, t in enumerate(doc):
+                    at.setdefault(t, []).append(k)
+                take += [i] * len(at)
+                of = [known.get(t) for t in at]
+                ids += of
+                tokens += [t if n is None else None for t, n in zip(at, of, strict=True)]
+                places += at.values()
+            number = pa.array(ids, pa.int64())
+            cols = [b.column(0).take(pa.array(take, pa.int64())), number, pa.array(tokens, pa.string()), pa.array(places, pa.list_(pa.int32())), number.is_valid()]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "token_id", "token", "positions", "hot"])
+
+    return run
 
 
 def build_index(
@@ -128,6 +159,7 @@ def build_index(
     text: str = "text",
     stopwords: frozenset[str] = STOPWORDS,
     limit: int | None = None,
+    hot_share: float = HOT_SHARE,
 ) -> Index:
     """Index of ``docs``. Documents without a token after stopwords are skipped and take no number.
 
@@ -146,10 +178,16 @@ def build_index(
     # Among a document's distinct tokens, which keep their order, each token is once; so the first document decides,
     # and both values are kept in a hash table, which a struct is not.
     first = numbered.select("doc_id", F.posexplode(F.array_distinct("tokens")).alias("pos", "token")).groupBy("token")
-    first = first.agg(F.min("doc_id").alias("__doc"), F.min_by("pos", "doc_id").alias("__pos"))
-    per_doc = numbered.select("doc_id", "tokens").mapInArrow(_positions, "doc_id long, token string, positions array<int>")
-    lexicon = dense_number(first, ["__doc", "__pos"], "token_id").select("token_id", "token")
-    postings = materialize(
-        per_doc.join(lexicon, "token").select("token_id", "doc_id", F.size("positions").alias("freq"), "positions")
-    )
-    return Index(numbered, lexicon, postings, docs.count())
+    first = first.agg(F.min("doc_id").alias("__doc"), F.min_by("pos", "doc_id").alias("__pos"), F.count("*").alias("doc_freq"))
+    lexicon = dense_number(first, ["__doc", "__pos"], "token_id").select("token_id", "token", "doc_freq")
+    least = max(2.0, numbered.count() * hot_share)
+    while lexicon.where(F.col("doc_freq") >= least).count() > HOT_ROWS:
+        least *= 2
+    hot = lexicon.where(F.col("doc_freq") >= least).select("token", "token_id").toArrow().to_pydict()  # at most HOT_ROWS
+    numbers = numbered.sparkSession.sparkContext.broadcast(dict(zip(hot["token"], hot["token_id"], strict=True)))
+    pairs = numbered.select("doc_id", "tokens").mapInArrow(_positions(numbers), PAIR).sortWithinPartitions("hot", "token_id", "doc_id")
+    stored = materialize(pairs, ["hot"])
+    posting = ["token_id", "doc_id", F.size("positions").alias("freq"), "positions"]
+    rare = stored.where("NOT hot").drop("token_id").join(lexicon.where(F.col("doc_freq") < least), "token")
+    rare = materialize(rare.select(*posting).sortWithinPartitions("token_id", "doc_id"))
+    return Index(numbered, lexicon, stored.where("hot").select(*posting), rare, docs.count(), least)

@@ -29,8 +29,4 @@ def term_lookup(index: Index, term: str, top: int = 10, heavy: DataFrame | None
     if heavy is not None and not heavy.where(F.col("token_id") == found.token_id).isEmpty():
         source = heavy
     rows = source.where(F.col("token_id") == found.token_id).select("doc_id", "freq")
-    total = rows.agg(F.count("*").alias("doc_count"))
-    return (
-        rows.orderBy("doc_id").limit(top).crossJoin(F.broadcast(total))  # total is one row
-        .select(F.lit(term).alias("term"), F.lit(found.token_id).alias("token_id"), "doc_count", "doc_id", "freq")
-    )
+    return rows.orderBy("doc_id").limit(top).select(F.lit(term).alias("term"), F.lit(found.token_id).alias("token_id"), F.lit(found.doc_freq).alias("doc_count"), "doc_id", "freq")

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigrove.operators.numbering import running_sum
 from lexigrove.operators.storage import BLOCK_HEADER, posting_bytes
+from lexigrove.session import materialize
 from lexigrove.sources.tables import table
 
 
@@ -43,21 +43,29 @@ def weighted_summary(freq: DataFrame, keys: list[str], value: str) -> DataFrame:
 def weighted_percentiles(freq: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """keys and p<share * 100> for each of ``shares``: the smallest value with at least that share of the key's non-null rows at or below it.
 
-    Weights are summed up along the global order of (keys, value) in range partitions, so a key with very many
-    values is spread as well; a value's place in its key is its running weight less that of the key's start.
+    Rows are range-partitioned by (keys, value), so a key with very many values lies in several partitions. Within one, weights are
+    summed up along the rows; what a key has in the partitions before is known from one row for each partition and key that
+    it holds. Only partitions in which a rank falls give a value, so no row is joined with its key's other rows.
     """
     known = freq.where(F.col(value).isNotNull())
-    run = running_sum(known, [*keys, value], "weight", "__before")
-    ends = run.groupBy(*keys).agg(F.min("__before").alias("__start"), F.sum("weight").alias("__n"))
-    a, b = run.alias("a"), ends.alias("b")
-    on: Column = F.lit(True)
+    order = [*keys, value]
+    placed = materialize(known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    by_key = Window.partitionBy(*keys)
+    parts = placed.groupBy(*keys, "__p").agg(F.sum("weight").alias("__w"))
+    earlier = by_key.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition of the key
+    parts = parts.select(*keys, "__p", F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__start"), "__w", F.sum("__w").over(by_key).alias("__n"))
+    ranks = [F.greatest(F.ceil(F.col("__n") * F.lit(s)), F.lit(1)) - F.col("__start") for s in shares]
+    inner = Window.partitionBy("__p", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)  # a part of the key: rows of one partition
+    upto = placed.select(*keys, "__p", value, "weight", F.sum("weight").over(inner).alias("__upto"))
+    asked = parts.select(*keys, "__p", *[F.when((r > 0) & (r <= F.col("__w")), r).alias(f"__r{i}") for i, r in enumerate(ranks)]).where(" OR ".join(f"__r{i} IS NOT NULL" for i in range(len(shares))))
+    a, b = upto.alias("a"), asked.alias("b")
+    on: Column = F.col("a.__p") == F.col("b.__p")
     for k in keys:
         on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    lo, hi = F.col("__before") - F.col("__start"), F.col("__before") - F.col("__start") + F.col("weight")
     picks = []
-    for s in shares:
-        rank = F.greatest(F.ceil(F.col("__n") * F.lit(s)), F.lit(1))
-        picks.append(F.max(F.when((lo < rank) & (rank <= hi), F.col(f"a.{value}"))).alias(f"p{round(s * 100)}"))
+    for i, s in enumerate(shares):
+        r = F.col(f"__r{i}")
+        picks.append(F.max(F.when((F.col("__upto") - F.col("weight") < r) & (r <= F.col("__upto")), F.col(f"a.{value}"))).alias(f"p{round(s * 100)}"))
     return a.join(b, on).groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(*picks)
 
 

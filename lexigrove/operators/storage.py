@@ -50,12 +50,16 @@ def heavy(postings: DataFrame, threshold_kb: float = HEAVY_KB, top: int = HEAVY_
     )
 
 
-def heavy_postings(postings: DataFrame, threshold_kb: float = HEAVY_KB, top: int = HEAVY_TOP) -> DataFrame:
-    """token_id, doc_id, freq of the heavy tokens, without positions."""
-    ids = heavy(postings, threshold_kb, top).select("token_id")
+def heavy_of(postings: DataFrame, ids: DataFrame, top: int) -> DataFrame:
+    """token_id, doc_id, freq of the tokens in ``ids``, of which there are ``top``, or any number where that is 0; without positions."""
     return postings.select("token_id", "doc_id", "freq").join(F.broadcast(ids) if top and top <= 10_000 else ids, "token_id", "left_semi")
 
 
+def heavy_postings(postings: DataFrame, threshold_kb: float = HEAVY_KB, top: int = HEAVY_TOP) -> DataFrame:
+    """token_id, doc_id, freq of the heavy tokens."""
+    return heavy_of(postings, heavy(postings, threshold_kb, top).select("token_id"), top)
+
+
 def block_stats(postings: DataFrame) -> DataFrame:
     """Count, sum, mean, median, 95th percentile (exclusive method) and maximum of block lengths; null percentile for fewer than two blocks."""
     lengths = block_lengths(postings).select("token_id", "length")

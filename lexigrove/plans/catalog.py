@@ -12,6 +12,7 @@ from lexigrove.operators import barrels as B
 from lexigrove.operators import compaction, ranking, shredding, skew, storage, validate
 from lexigrove.operators.index import Index, build_index
 from lexigrove.operators.search import term_lookup
+from lexigrove.session import drop_tables, filesystem, stored_tables
 from lexigrove.sources.tables import spread, table
 
 LOOKUP_TERM = "receptor"
@@ -20,20 +21,36 @@ RANK_WORDS = ["receptor", "analysis", "households"]
 FORWARD_LIMIT = 100
 
 
-_built: dict[tuple[str, str], B.Barrels] = {}
+_built: dict[tuple[str, str, int | None], tuple[tuple, B.Barrels, set[str]]] = {}
 
 
-def barrels_of(spark: SparkSession, folder: str) -> B.Barrels:
-    """The barrels, and with them the index, of a folder's documents: built once an application and folder, as stored tables."""
-    key = (spark.sparkContext.applicationId, folder)
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files."""
+    fs, p = filesystem(spark, path)
+    status = fs.getFileStatus(p)
+    files = fs.listStatus(p) if status.isDirectory() else [status]
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
+def barrels_of(spark: SparkSession, folder: str, limit: int | None = None) -> B.Barrels:
+    """The barrels, and with them the index, of a folder's documents, or of the first ``limit`` that are indexed: stored tables, built once an application and folder.
+
+    Where the documents' files have changed since, the index is built anew and the old one's tables are dropped.
+    """
+    key = (spark.sparkContext.applicationId, folder, limit)
+    state = _state(spark, f"{folder}/documents.parquet")
+    if key in _built and _built[key][0] != state:
+        drop_tables(spark, stored_tables(spark) - _built.pop(key)[2])
     if key not in _built:
+        before = stored_tables(spark)
         docs = table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("paper_id"), "text")
-        _built[key] = B.Barrels(build_index(docs, ["doc_id"]))
-    return _built[key]
+        barrels = B.Barrels(build_index(docs, ["doc_id"], limit=limit))
+        _built[key] = (state, barrels, stored_tables(spark) - before)
+    return _built[key][1]
 
 
-def index_of(spark: SparkSession, folder: str) -> Index:
-    return barrels_of(spark, folder).index
+def index_of(spark: SparkSession, folder: str, limit: int | None = None) -> Index:
+    return barrels_of(spark, folder, limit).index
 
 
 def _hits_in(tokens: Column, code: int, rank: int, words: list[str]) -> Column:
@@ -65,8 +82,9 @@ def _validate(s: SparkSession, d: str) -> DataFrame:
 
 def _postings_from_forward(index: Index) -> DataFrame:
     """Postings derived a second time, from documents and lexicon."""
-    occ = index.docs.select("doc_id", F.posexplode("tokens").alias("pos", "token")).join(index.lexicon, "token")
-    return occ.groupBy("token_id", "doc_id").agg(F.count("*").cast("int").alias("freq"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    occ = index.docs.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    pairs = occ.groupBy("doc_id", "token").agg(F.count("*").cast("int").alias("freq"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    return index.by_token(pairs, index.lexicon)
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,10 +95,10 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "tokens": lambda s, d: ix(s, d).tokens(),
         "doc_ids": lambda s, d: ix(s, d).doc_ids(),
-        "lexicon": lambda s, d: ix(s, d).lexicon,
+        "lexicon": lambda s, d: ix(s, d).lexicon.select("token_id", "token"),
         "lexicon_stats": lambda s, d: ix(s, d).lexicon_stats(),
         "forward_index": lambda s, d: _forward(ix(s, d).forward()),
-        "forward_limit": lambda s, d: _forward(ix(s, d).forward().where(F.col("doc_id") < FORWARD_LIMIT)),
+        "forward_limit": lambda s, d: _forward(ix(s, d, FORWARD_LIMIT).forward()),
         "forward_stats": lambda s, d: ix(s, d).forward_stats(),
         "inverted_index": lambda s, d: ix(s, d).inverted().select("token_id", "doc_freq", "block_no", _joined("doc_ids")),
         "doc_freq": lambda s, d: ix(s, d).doc_freq(),

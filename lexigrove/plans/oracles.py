@@ -137,7 +137,7 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'postings_index.bin', CAST(4 * v + blk AS BIGINT) FROM v, p UNION ALL SELECT 'postings_offsets.bin', 4 + 20 * v FROM v
             UNION ALL SELECT CASE WHEN barrel_id = 16 THEN 'barrel_freq.bin' ELSE 'barrel_' || lpad(barrel_id::VARCHAR, 2, '0') || '.bin' END, CAST(sum(16 + 4 * freq) AS BIGINT) FROM bmap JOIN post USING (token_id) GROUP BY barrel_id"""),
         "memory_estimate": o("lex", "SELECT 120 * count(*) AS offsets_bytes, 60 * count(*) AS lexicon_bytes, 180 * count(*) AS total_bytes FROM lex"),
-        "validate_postings": o("post", "SELECT unnest(['not in barrels', 'not in index']) AS problem, 0::BIGINT AS rows, 2 * count(*) AS checked FROM post"),
+        "validate_postings": o("post", "SELECT CAST(-1 AS BIGINT) AS token_id, 'compared' AS problem, 2 * count(*) AS rows FROM post"),
         "is_relevant": f"{_hits([RANK_WORD])} SELECT doc_id, relevant FROM scored",
         "rank_single": f"{_hits([RANK_WORD])} SELECT row_number() OVER (ORDER BY base + bonus DESC, doc_id) AS rank, doc_id, CAST(base + bonus AS DOUBLE) AS score FROM scored",
         "intersections": f"{_hits(RANK_WORDS)} SELECT CAST(i AS INTEGER) AS level, doc_id, rel_depth > i AS relevant FROM depths, range({len(RANK_WORDS)}) r(i) WHERE depth > i",

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrove import cli
+from lexigrove.sources import store
 from lexigrove.functions.scalars import file_key, file_stem, human_size
 
 
@@ -24,14 +25,25 @@ def test_lookup(stored, spark, capsys):
     _, folder = stored
     assert cli.main(["lookup", folder, "serum", "--top", "2"], spark) == 0
     assert "doc_id" in capsys.readouterr().out
-    assert cli.main(["lookup", folder, "SERUM"], spark) == cli.NO_TERM
-    assert cli.main(["lookup", f"{folder}x", "serum"], spark) == cli.NO_INDEX
+    assert cli.main(["lookup", folder, "SERUM"], spark) == store.NO_TERM
+    assert cli.main(["lookup", f"{folder}x", "serum"], spark) == store.NO_INDEX
 
 
 def test_reports(stored, spark, capsys):
     root, folder = stored
     for command in ("heavy", "barrels", "frequent", "validate", "timings"):
         assert cli.main([command, folder], spark) == 0
+    assert cli.main(["validate", folder, "--sample", "2"], spark) == cli.main(["validate", folder, "--token", "1"], spark) == 0
+    assert cli.main(["timings", folder, "--terms", "virus,nothing", "--warm"], spark) == 0
+    assert cli.main(["sweep"], spark) == 0
+    capsys.readouterr()
+    assert cli.main(["heavy", folder, "--threshold-kb", "0.1", "--top", "2", "--write"], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    assert cli.main(["heavy", folder], spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 3
+    assert cli.main(["lookup", folder, "virus"], spark) == 0
+    assert "heavy list" in (said := capsys.readouterr().out) and "in 45 documents" in said
+    assert cli.main(["frequent", folder], spark) == 0
     assert "virus" in capsys.readouterr().out
     stats = json.loads((root / "index/storage_stats.json").read_text())
     assert stats["documents"] == 45 and stats["vocabulary"] == 9 and stats["artifacts"]["lexicon.bin"] > 0
@@ -43,10 +55,10 @@ def test_empty_corpus(spark, tmp_path):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([(0, "a/b%20c.xml.json"), (1023, "x"), (1024, ".h"), (1536 * 1024, "d/e.f"), (5 * 1024**4 * 1024, "z.json"), (None, None)], "n long, p string")
+    df = spark.createDataFrame([(0, "a/b%20c.xml.json"), (1023, "x"), (1024, ".h"), (1536 * 1024, "d/e.f"), (5 * 1024**4 * 1024, "z.json"), (None, None), (0, "a+b%2Bc.json")], "n long, p string")
     rows = df.select(human_size(F.col("n")).alias("s"), file_stem(F.col("p")).alias("stem"), file_key(F.col("p")).alias("key")).collect()
-    assert [r.s for r in rows] == ["0.00 B", "1023.00 B", "1.00 KB", "1.50 MB", "5120.00 TB", None]
-    assert [(r.stem, r.key) for r in rows[:2]] == [("b c.xml", "b c"), ("x", "x")]
+    assert [r.s for r in rows] == ["0.00 B", "1023.00 B", "1.00 KB", "1.50 MB", "5120.00 TB", None, "0.00 B"]
+    assert [(r.stem, r.key) for r in rows[:2]] == [("b c.xml", "b c"), ("x", "x")] and rows[6].key == "a+b+c"
 
 
 def test_ids_of(stored, spark):

@@ -10,8 +10,9 @@ from lexigrove.operators import storage
 from lexigrove.operators.index import EmptyCorpus, build_index
 from lexigrove.operators.numbering import dense_number, running_sum
 from lexigrove.operators.search import UnknownTerm, term_lookup
-from lexigrove.operators.validate import compare_postings, sample_tokens
-from lexigrove.sources.store import read_index_table, stored_lookup, write_index
+from lexigrove.operators.validate import block_order, compare_postings, sample_tokens
+from lexigrove.sources import store
+from lexigrove.sources.store import lookup, read_index_table, write_index
 
 
 def corpus(n=60, seed=1):
@@ -134,14 +135,32 @@ def test_limit_and_empty(spark):
 
 
 def test_validation_finds_differences(built):
-    ok = {r.problem: r.rows for r in compare_postings(built.postings, built.postings).collect()}
-    assert set(ok.values()) == {0}
-    less = built.postings.where("doc_id > 3")
-    bad = {r.problem: r.rows for r in compare_postings(built.postings, less).collect()}
-    assert bad["not in barrels"] > 0 and bad["not in index"] == 0
+    n = built.postings.count()
+    assert [tuple(r) for r in compare_postings(built.postings, built.postings).collect()] == [(-1, "compared", 2 * n)]
+    less = built.postings.where("token_id <> 2 OR doc_id > 3")
+    gone = n - less.count()
+    assert {tuple(r) for r in compare_postings(built.postings, less).collect()} == {(2, "not in barrels", gone), (-1, "compared", 2 * n - gone)}
+    assert {tuple(r) for r in compare_postings(less, built.postings).where("token_id >= 0").collect()} == {(2, "not in index", gone)}
     assert sample_tokens(built.lexicon, 3).collect() == sample_tokens(built.lexicon.repartition(3), 3).collect()
 
 
+def test_validation_checks_block_order(spark):
+    rows = [(1, 5, "a", 0), (1, 7, "a", 1), (1, 9, "b", 0), (2, 5, "a", 2), (2, 4, "a", 3), (3, 8, "a", 4), (3, 8, "b", 1), (4, 1, "b", 2)]
+    df = spark.createDataFrame(rows, "token_id long, doc_id long, file string, row long")
+    assert {tuple(r) for r in block_order(df, ["file", "row"]).collect()} == {(2, "order", 1), (3, "order", 1)}
+
+
+def test_hot_tokens_change_nothing(spark, built):
+    df = spark.createDataFrame(corpus(), "n int, paper_id string, text string, tokens string")
+    other = build_index(df, ["n"], hot_share=0.2)
+    assert other.hot.count() and other.rare.count()
+    key = lambda ix: sorted((r.token_id, r.doc_id, r.freq, tuple(r.positions)) for r in ix.postings.collect())
+    assert key(other) == key(built)
+    a, b = B.Barrels(built, 4, 0.3).postings(), B.Barrels(other, 4, 0.3).postings()
+    assert sorted((r.token_id, r.doc_id, r.barrel_id) for r in a.collect()) == sorted((r.token_id, r.doc_id, r.barrel_id) for r in b.collect())
+    assert {r.token_id: r.doc_freq for r in other.doc_freq().collect()} == {r.token_id: r["count"] for r in built.postings.groupBy("token_id").count().collect()}
+
+
 def test_numbering_and_running_sum(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 5).alias("v")).repartition(7)
     assert {(r.k, r.n) for r in dense_number(df, ["k"], "n").collect()} == {(k, k) for k in range(1000)}
@@ -156,11 +175,76 @@ def test_numbering_and_running_sum(spark):
 def test_store_round_trip(built, spark, tmp_path):
     b = B.Barrels(built)
     folder = f"file://{tmp_path}/index"
-    write_index(b, folder)
-    write_index(b, folder)  # a second build replaces the first
+    builds = [write_index(b, folder, threshold_kb=0.2, top=2).rpartition("/")[2] for _ in range(3)]
     assert read_index_table(spark, folder, "postings").count() == built.postings.count()
-    want = [(r.doc_id, r.freq) for r in term_lookup(built, "w1").orderBy("doc_id").collect()]
-    assert [(r.doc_id, r.freq) for r in stored_lookup(spark, folder, "w1").collect()] == want
-    assert stored_lookup(spark, folder, "nothing").count() == 0
+    assert {p.name for p in (tmp_path / "index").glob("build-*")} == set(builds[1:]) and store.current_build(spark, folder).endswith(builds[2])
+    for term in ("w0", "w1", "w33"):
+        want = [(r.doc_id, r.freq) for r in term_lookup(built, term).orderBy("doc_id").collect()]
+        for heavy in (True, False):
+            got = lookup(spark, folder, term, use_heavy=heavy)
+            assert got.code == store.FOUND and got.rows == want and got.doc_count == built.postings.where(F.col("token_id") == got.token_id).count()
+    assert lookup(spark, folder, "w0").heavy and set(got.ms) == {"lexicon", "offset", "locate", "read"}
+    assert lookup(spark, folder, "nothing").code == store.NO_TERM
+    assert [r.token_id for r in store.heavy_tokens(spark, folder, 0.2, 2).orderBy(F.desc("bytes")).collect()] == [r.token_id for r in read_index_table(spark, folder, "heavy_manifest").orderBy(F.desc("bytes")).collect()]
     with pytest.raises(FileNotFoundError):
         read_index_table(spark, f"file://{tmp_path}/none", "postings")
+
+
+def test_lookup_tells_what_is_missing(built, spark, tmp_path):
+    import shutil
+
+    folder, root = f"file://{tmp_path}/index", tmp_path / "index"
+    write_index(B.Barrels(built), folder)
+    build = root / store.current_build(spark, folder).rpartition("/")[2]
+    shutil.rmtree(build / "barrel_map")
+    assert lookup(spark, folder, "w1").rows  # a token without a barrel
+    shutil.rmtree(build / "heavy_postings")
+    assert lookup(spark, folder, "w1").rows
+    places = read_index_table(spark, folder, "offsets").where(F.col("token_id") != lookup(spark, folder, "w1").token_id).collect()
+    shutil.rmtree(build / "offsets")
+    assert lookup(spark, folder, "w1").code == store.NO_INDEX
+    spark.createDataFrame(places).write.parquet(f"file://{build}/offsets")
+    assert lookup(spark, folder, "w1").code == store.NO_OFFSET and lookup(spark, folder, "w2").code == store.FOUND
+    shutil.rmtree(build / "lexicon")
+    assert lookup(spark, folder, "w1").code == store.NO_LEXICON
+    assert lookup(spark, f"{folder}x", "w1").code == store.NO_INDEX
+
+
+def test_stored_validation(built, spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    write_index(B.Barrels(built), folder)
+    assert [r.problem for r in store.validate(spark, folder).collect()] == ["compared"]
+    assert store.validate(spark, folder, sample=3).head().rows > 0
+    path = f"{store.current_build(spark, folder)}/postings"
+    rows = spark.read.parquet(path).collect()
+    moved = spark.createDataFrame(rows, spark.read.parquet(path).schema)
+    moved = moved.where("token_id <> 1 OR doc_id > 20").coalesce(1).sortWithinPartitions("barrel_id", "token_id", F.when(F.col("token_id") == 2, -F.col("doc_id")).otherwise(F.col("doc_id")))
+    moved.write.mode("overwrite").partitionBy("barrel_id").parquet(path)
+    bad = {(r.token_id, r.problem) for r in store.validate(spark, folder).collect()}
+    assert bad == {(-1, "compared"), (1, "not in index"), (2, "order")}
+    assert {r.problem for r in store.validate(spark, folder, tokens=[3]).collect()} == {"compared"}
+
+
+def test_stored_tables_are_dropped(spark):
+    from lexigrove.session import drop_tables, materialize, shared_folder, stored_tables, sweep
+
+    before = stored_tables(spark)
+    df = materialize(spark.range(10).selectExpr("id", "id % 2 = 0 AS even"), ["even"])
+    assert df.columns == ["id", "even"] and df.where("even").count() == 5
+    [path] = stored_tables(spark) - before
+    assert drop_tables(spark, before) == 1 and stored_tables(spark) == before
+    spark.range(3).write.parquet(path)  # as a killed driver leaves it
+    assert sweep(spark, 1.0) == 0
+    import time
+
+    assert sweep(spark, 1.0, (time.time() + 7200) * 1000) >= 1 and shared_folder(spark)
+
+
+def test_index_is_rebuilt_for_changed_files(spark, tmp_path):
+    from lexigrove.plans import catalog
+
+    for text in ("one two", "one two three"):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").write.mode("overwrite").parquet(f"file://{tmp_path}/documents.parquet")
+        ix = catalog.index_of(spark, f"file://{tmp_path}")
+        assert ix.lexicon.count() == len(text.split())
+        assert catalog.index_of(spark, f"file://{tmp_path}") is ix
