@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
@@ -34,7 +35,7 @@ class EmptyCorpus(ValueError):
 @dataclass
 class Index:
     """``docs``: doc_id, paper_id, tokens. ``lexicon``: token_id, token, doc_freq. ``hot``, ``rare``: token_id, doc_id, freq, positions
-    of tokens in at least ``least`` documents, and of the others; both are stored with each file sorted by token.
+    of tokens in at least ``least`` documents, and of the others; both are stored in runs sorted by token, so that pages of other tokens are skipped.
 
     ``skipped`` counts the source documents without a token; they take no number.
     """
@@ -126,28 +127,30 @@ class Index:
         )
 
 
-PAIR = "doc_id long, token_id long, token string, positions array<int>, hot boolean"
+def _positions(numbers: Broadcast, hot: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """doc_id, token, positions: each token of a document once, without a shuffle, as a document is one row.
 
-
-def _positions(numbers: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """PAIR: each token of a document once, without a shuffle, as a document is one row; ``numbers`` of hot tokens, the others keep their token."""
+    ``numbers`` of hot tokens: either these, as numbers, are given, or the others, as they are. A batch comes in the order of tokens, then documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = numbers.value
         for b in batches:
-            take, ids, tokens, places = [], [], [], []
-            for i, doc in enumerate(b.column(1).to_pylist()):
-                at: dict[str, list[int]] = {}
-                for k, t in enumerate(doc):
-                    at.setdefault(t, []).append(k)
-                take += [i] * len(at)
-                of = [known.get(t) for t in at]
-                ids += of
-                tokens += [t if n is None else None for t, n in zip(at, of, strict=True)]
-                places += at.values()
-            number = pa.array(ids, pa.int64())
-            cols = [b.column(0).take(pa.array(take, pa.int64())), number, pa.array(tokens, pa.string()), pa.array(places, pa.list_(pa.int32())), number.is_valid()]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "token_id", "token", "positions", "hot"])
+            lists = b.column(1)
+            offsets = np.asarray(lists.offsets)
+            words = lists.flatten().dictionary_encode()
+            number = np.array([known.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)
+            code, size = np.asarray(words.indices), np.diff(offsets)
+            keep = np.flatnonzero((number[code] >= 0) == hot)
+            doc = np.repeat(np.arange(len(size)), size)[keep]
+            place = keep - np.repeat(offsets[:-1] - offsets[0], size)[keep]
+            key = (number[code] if hot else code)[keep]
+            order = np.argsort(key, kind="stable")  # documents and places are ascending, and stay so
+            key, doc, place = key[order], doc[order], place[order]
+            start = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)])
+            token = pa.array(key[start]) if hot else words.dictionary.take(pa.array(key[start]))
+            positions = pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[start])), token, positions], ["doc_id", "token", "positions"])
 
     return run
 
@@ -185,9 +188,10 @@ def build_index(
         least *= 2
     hot = lexicon.where(F.col("doc_freq") >= least).select("token", "token_id").toArrow().to_pydict()  # at most HOT_ROWS
     numbers = numbered.sparkSession.sparkContext.broadcast(dict(zip(hot["token"], hot["token_id"], strict=True)))
-    pairs = numbered.select("doc_id", "tokens").mapInArrow(_positions(numbers), PAIR).sortWithinPartitions("hot", "token_id", "doc_id")
-    stored = materialize(pairs, ["hot"])
-    posting = ["token_id", "doc_id", F.size("positions").alias("freq"), "positions"]
-    rare = stored.where("NOT hot").drop("token_id").join(lexicon.where(F.col("doc_freq") < least), "token")
-    rare = materialize(rare.select(*posting).sortWithinPartitions("token_id", "doc_id"))
-    return Index(numbered, lexicon, stored.where("hot").select(*posting), rare, docs.count(), least)
+    lists = numbered.select("doc_id", "tokens")
+    pairs = lists.mapInArrow(_positions(numbers, True), "doc_id long, token long, positions array<int>")
+    freq = F.size("positions").alias("freq")
+    stored = materialize(pairs.select(F.col("token").alias("token_id"), "doc_id", freq, "positions"))
+    rare = lists.mapInArrow(_positions(numbers, False), "doc_id long, token string, positions array<int>").join(lexicon.where(F.col("doc_freq") < least), "token")
+    rare = materialize(rare.select("token_id", "doc_id", freq, "positions").sortWithinPartitions("token_id", "doc_id"))
+    return Index(numbered, lexicon, stored, rare, docs.count(), least)
