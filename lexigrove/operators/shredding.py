@@ -4,9 +4,9 @@ The adjacency table has one row a node: ``record, node, parent, label, ordinal,
 A node is named by its path (``/body_text:3/ref_spans:0``), so that ids need no numbering and a
 recomputed task makes the same ones. Elements of arrays are children of the object that owns the
 array, with the array's label and their place as ordinal; map entries likewise, with their key in
-the scalar child ``@key``. An entity table groups scalar children under their object nodes: an
-equi-join of objects and scalars on (record, node), done as one aggregation, whose partial step
-already folds a record's scalars before the shuffle.
+the scalar child ``@key``. An entity table joins object nodes with their scalar children on
+(record, node) and pivots these into columns; the pivot keeps the join's partitioning and order. Records are
+shredded whole, once, into a table sorted by label, of which an entity reads the pages of its labels.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexigrove.session import materialize
+from lexigrove.session import drop_tables, file_state, materialize, stored_tables
 from lexigrove.sources.tables import spread, table
 
 NODE = "node string, parent string, label string, ordinal int, kind string, scalar string"
@@ -102,31 +102,29 @@ def shred(df: DataFrame, record: str) -> DataFrame:
 
 
 def entity(nodes: DataFrame, labels: list[str], scalars: list[str], depth: int | None = None) -> DataFrame:
-    """record, node, parent, label, ordinal and a column for each of ``scalars``: the object (and null) nodes with one of ``labels``.
+    """record, node, parent, label, ordinal, present and a column for each of ``scalars``: the object (and null, thus not present) nodes with one of ``labels``.
 
     ``depth``: the number of steps of the node's path, where a label occurs at several depths. A
     missing scalar is null. Objects without any scalar still give their row.
     """
-    objects = F.col("kind").isin("object", "null") & F.col("label").isin(labels)
+    objects = nodes.where(F.col("kind").isin("object", "null") & F.col("label").isin(labels))
     if depth is not None:
-        objects = objects & (F.length("node") - F.length(F.replace(F.col("node"), F.lit("/"), F.lit(""))) == depth)
-    wanted = objects | ((F.col("kind") == "scalar") & F.col("label").isin(scalars))
-    key = F.when(F.col("kind") == "scalar", F.col("parent")).otherwise(F.col("node"))
-    of = lambda c: F.max(F.when(objects, F.col(c)))
-    return (
-        nodes.where(wanted)
-        .groupBy("record", key.alias("node"))
-        .agg(
-            of("parent").alias("parent"), of("label").alias("label"), of("ordinal").alias("ordinal"),
-            *[F.max(F.when(F.col("label") == s, F.col("scalar"))).alias(s) for s in scalars],
-        )
-        .where(F.col("label").isNotNull())  # scalars of other objects
-    )
-
-
-def parent_of(children: DataFrame, parents: DataFrame) -> Column:
-    """Join condition of two entity tables; null record ids meet."""
-    return children["record"].eqNullSafe(parents["record"]) & (children["parent"] == parents["node"])
+        objects = objects.where(F.length("node") - F.length(F.replace(F.col("node"), F.lit("/"), F.lit(""))) == depth)
+    own = ["parent", "label", "ordinal"]
+    whole = F.struct("record").alias("__k")  # not null itself where the id is, so that null ids meet and partitions stay
+    left = objects.select(whole, "node", "kind", *own)
+    values = []
+    if scalars:
+        children = nodes.where((F.col("kind") == "scalar") & F.col("label").isin(scalars)).select(F.struct("record").alias("__ck"), F.col("parent").alias("__cp"), F.col("label").alias("__cl"), "scalar")
+        left = left.join(children, (F.col("__k") == F.col("__ck")) & (F.col("node") == F.col("__cp")), "left")
+        values = [F.max(F.when(F.col("__cl") == s, F.col("scalar"))).alias(s) for s in scalars]
+    present = F.max(F.col("kind") == "object").alias("present")
+    return left.groupBy("__k", "node").agg(*[F.max(c).alias(c) for c in own], present, *values).select("__k.record", "node", *own, "present", *scalars)
+
+
+def under(child: str, parent: str) -> Column:
+    """Join condition of two entity tables, by their aliases; null record ids meet."""
+    return F.col(f"{child}.record").eqNullSafe(F.col(f"{parent}.record")) & (F.col(f"{child}.parent") == F.col(f"{parent}.node"))
 
 
 # Entities of papers
@@ -135,16 +133,28 @@ AREAS = ["abstract", "body_text", "back_matter"]
 _SPAN = "array<struct<start:int,end:int,text:string,ref_id:string>>"
 
 
-def paper_nodes(papers: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Stored adjacency table of papers; ``columns`` beside record_id to shred, all of them if none are given."""
-    return materialize(shred(papers if columns is None else papers.select("record_id", *columns), "record_id"))
+def paper_nodes(papers: DataFrame) -> DataFrame:
+    """Stored adjacency table of papers, each part of it sorted by label."""
+    return materialize(shred(papers, "record_id").sortWithinPartitions("label", "kind"))
+
+
+_stored: dict[tuple[str, str], tuple[tuple, DataFrame, set[str]]] = {}
+
+
+def nodes_of(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`paper_nodes` of a folder's papers: whole records, shredded once an application and folder, and anew where their files have changed."""
+    key, state = (spark.sparkContext.applicationId, folder), file_state(spark, f"{folder}/papers.parquet")
+    if key in _stored and _stored[key][0] != state:
+        drop_tables(spark, stored_tables(spark) - _stored.pop(key)[2])
+    if key not in _stored:
+        before = stored_tables(spark)
+        nodes = paper_nodes(spread(table(spark, folder, "papers")))
+        _stored[key] = (state, nodes, stored_tables(spark) - before)
+    return _stored[key][1]
 
 
 def records(nodes: DataFrame) -> DataFrame:
-    own = entity(nodes, ["record"], ["source_tag", "paper_id", "ingested_at"], 0)
-    meta = entity(nodes, ["metadata"], ["title"], 1)
-    m = meta.select("record", "parent", "title")
-    return own.join(m, parent_of(m, own), "left").select(own["record"].alias("record_id"), "source_tag", "paper_id", "title")
+    return whole_records(nodes).drop("ingested_at")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:
@@ -153,12 +163,10 @@ def blocks(nodes: DataFrame) -> DataFrame:
 
 
 def spans(nodes: DataFrame, kind: str = "ref_spans", scalars: tuple[str, ...] = ("start", "ref_id")) -> DataFrame:
-    """Spans with the area and place of their block. The path of a span's parent names its block, so both come from the link itself."""
-    s = entity(nodes, [kind], list(scalars), 2)
-    b = entity(nodes, AREAS, ["section"], 1)
-    p = b.select(F.col("record"), F.col("node"), F.col("label").alias("area"), F.col("ordinal").alias("block_no"), "section")
-    return s.join(p, parent_of(s, p)).select(
-        s["record"].alias("record_id"), "area", "block_no", s["ordinal"].alias("span_no"), "section", *[F.col(x) for x in scalars]
+    """Spans with the area, place and section of the block that is their parent."""
+    s, b = entity(nodes, [kind], list(scalars), 2).alias("s"), entity(nodes, AREAS, ["section"], 1).alias("b")
+    return s.join(b, under("s", "b")).select(
+        F.col("s.record").alias("record_id"), F.col("b.label").alias("area"), F.col("b.ordinal").alias("block_no"), F.col("s.ordinal").alias("span_no"), "b.section", *[f"s.{x}" for x in scalars]
     )
 
 
@@ -168,9 +176,9 @@ def entries(nodes: DataFrame, label: str = "ref_entries", scalars: tuple[str, ..
 
 
 def whole_records(nodes: DataFrame) -> DataFrame:
-    own = entity(nodes, ["record"], ["source_tag", "paper_id", "ingested_at"], 0)
-    meta = entity(nodes, ["metadata"], ["title"], 1)
-    return own.join(meta.select("record", "parent", "title"), parent_of(meta, own), "left").select(own["record"].alias("record_id"), "source_tag", "paper_id", "title", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at"))
+    own = entity(nodes, ["record"], ["source_tag", "paper_id", "ingested_at"], 0).alias("r")
+    meta = entity(nodes, ["metadata"], ["title"], 1).alias("m")
+    return own.join(meta, under("m", "r"), "left").select(F.col("r.record").alias("record_id"), "r.source_tag", "r.paper_id", "m.title", F.col("r.ingested_at").cast("timestamp_ntz").alias("ingested_at"))
 
 
 #: Scalars of an author, of its affiliation, and of that one's location.
@@ -195,7 +203,6 @@ def authors(nodes: DataFrame) -> DataFrame:
     a = _with_middle(entity(nodes, ["authors"], own, 2).where("parent = '/metadata'"), nodes).alias("a")
     f = entity(nodes, ["affiliation"], affiliation).alias("f")
     at = entity(nodes, ["location"], location).alias("l")
-    under = lambda c, p: F.col(f"{c}.record").eqNullSafe(F.col(f"{p}.record")) & (F.col(f"{c}.parent") == F.col(f"{p}.node"))
     both = a.join(f, under("f", "a"), "left").join(at, under("l", "f"), "left")
     return both.select(F.col("a.record").alias("record_id"), F.col("a.ordinal").alias("author_no"), "first", "middle", "last", "suffix", *affiliation, *location, "email")
 
@@ -216,33 +223,39 @@ def span_links(nodes: DataFrame) -> DataFrame:
     return met.select("s.record_id", "s.area", "s.block_no", "s.span_no", F.coalesce(F.col("e.entry_key"), F.lit("")).alias("entry_key"))
 
 
-#: What the links need of papers, so that the scan reads no text.
-LINK_SCHEMA = "record_id bigint, " + ", ".join(f"{a} array<struct<ref_spans:array<struct<ref_id:string>>,section:string>>" for a in AREAS) + ", ref_entries map<string,struct<type:string>>"
+def affiliations(nodes: DataFrame) -> DataFrame:
+    """Affiliations keyed to their author by record and place, with their location; authors without one give no row."""
+    _, own, place = _AUTHOR
+    f, at, a = entity(nodes, ["affiliation"], own).where("node LIKE '/metadata/authors:%'").alias("f"), entity(nodes, ["location"], place).alias("l"), entity(nodes, ["authors"], [], 2).alias("a")
+    both = f.join(a, under("f", "a")).join(at, under("l", "f"), "left").where("f.present")
+    return both.select(F.col("f.record").alias("record_id"), F.col("a.ordinal").alias("author_no"), *own, *place)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def links(s: SparkSession, d: str) -> DataFrame:
-        return span_links(paper_nodes(spread(s.read.schema(LINK_SCHEMA).parquet(f"{d}/papers.parquet"))))
+    whole = ("start", "end", "text", "ref_id")
+
+    def spans_of(kind: str, scalars: tuple[str, ...]) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda s, d: spans(nodes_of(s, d), kind, scalars).withColumns({c: F.col(c).cast("int") for c in ("start", "end") if c in scalars})
 
-    def whole_spans(kind: str) -> Callable[[SparkSession, str], DataFrame]:
-        whole = ("start", "end", "text", "ref_id")
-        return lambda s, d: spans(full(s, d, *AREAS), kind, whole).withColumns({c: F.col(c).cast("int") for c in ("start", "end")})
+    def named(df: DataFrame) -> DataFrame:
+        """Middle names as one text, which hashes alike in every engine."""
+        return df.withColumn("middle", F.array_join("middle", "|", ""))
 
-    full = lambda s, d, *c: paper_nodes(spread(table(s, d, "papers").select("record_id", *c)), list(c))
     return {
-        "p2_found": links,
-        "p2_records": lambda s, d: records(full(s, d, "source_tag", "paper_id", "metadata")),
-        "p2_blocks": lambda s, d: blocks(full(s, d, *AREAS)).drop("node"),
-        "p2_ref_spans": lambda s, d: spans(full(s, d, *AREAS)).withColumn("start", F.col("start").cast("int")),
-        "p2_cite_spans": lambda s, d: spans(full(s, d, *AREAS), "cite_spans").withColumn("start", F.col("start").cast("int")),
-        "p2_ref_entries": lambda s, d: entries(full(s, d, "ref_entries")),
-        "p2_bib_entries": lambda s, d: entries(full(s, d, "bib_entries"), "bib_entries", ("title", "year", "venue")).withColumn("year", F.col("year").cast("int")),
+        "p2_found": lambda s, d: span_links(nodes_of(s, d)),
+        "p2_records": lambda s, d: records(nodes_of(s, d)),
+        "p2_blocks": lambda s, d: blocks(nodes_of(s, d)).drop("node"),
+        "p2_ref_spans": spans_of("ref_spans", ("start", "ref_id")),
+        "p2_cite_spans": spans_of("cite_spans", ("start", "ref_id")),
+        "p2_ref_entries": lambda s, d: entries(nodes_of(s, d)),
+        "p2_bib_entries": lambda s, d: entries(nodes_of(s, d), "bib_entries", ("title", "year", "venue")).withColumn("year", F.col("year").cast("int")),
         # The tables above keep the columns of their SQL; these have every child.
-        "p2_whole_records": lambda s, d: whole_records(full(s, d, "source_tag", "paper_id", "metadata", "ingested_at")),
-        "p2_whole_ref_spans": whole_spans("ref_spans"),
-        "p2_whole_cite_spans": whole_spans("cite_spans"),
-        "p2_whole_ref_entries": lambda s, d: entries(full(s, d, "ref_entries"), scalars=("text", "latex", "type")),
-        "p2_whole_bib_entries": lambda s, d: entries(full(s, d, "bib_entries"), "bib_entries", ("ref_id", "title", "year", "venue", "volume", "issn", "pages")).withColumn("year", F.col("year").cast("int")),
-        "p2_authors": lambda s, d: authors(full(s, d, "metadata")),
-        "p2_bib_authors": lambda s, d: bib_authors(full(s, d, "bib_entries")),
+        "p2_whole_records": lambda s, d: whole_records(nodes_of(s, d)),
+        "p2_whole_ref_spans": spans_of("ref_spans", whole),
+        "p2_whole_cite_spans": spans_of("cite_spans", whole),
+        "p2_whole_ref_entries": lambda s, d: entries(nodes_of(s, d), scalars=("text", "latex", "type")),
+        "p2_whole_bib_entries": lambda s, d: entries(nodes_of(s, d), "bib_entries", ("ref_id", "title", "year", "venue", "volume", "issn", "pages")).withColumn("year", F.col("year").cast("int")),
+        "p2_authors": lambda s, d: named(authors(nodes_of(s, d))),
+        "p2_bib_authors": lambda s, d: named(bib_authors(nodes_of(s, d))),
+        "p2_affiliations": lambda s, d: affiliations(nodes_of(s, d)),
     }

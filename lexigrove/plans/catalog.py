@@ -12,7 +12,7 @@ from lexigrove.operators import barrels as B
 from lexigrove.operators import compaction, ranking, shredding, skew, storage, validate
 from lexigrove.operators.index import Index, build_index
 from lexigrove.operators.search import term_lookup
-from lexigrove.session import drop_tables, filesystem, stored_tables
+from lexigrove.session import drop_tables, file_state, stored_tables
 from lexigrove.sources.tables import spread, table
 
 LOOKUP_TERM = "receptor"
@@ -24,21 +24,13 @@ FORWARD_LIMIT = 100
 _built: dict[tuple[str, str, int | None], tuple[tuple, B.Barrels, set[str]]] = {}
 
 
-def _state(spark: SparkSession, path: str) -> tuple:
-    """Names, lengths and times of a table's files."""
-    fs, p = filesystem(spark, path)
-    status = fs.getFileStatus(p)
-    files = fs.listStatus(p) if status.isDirectory() else [status]
-    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
-
-
 def barrels_of(spark: SparkSession, folder: str, limit: int | None = None) -> B.Barrels:
     """The barrels, and with them the index, of a folder's documents, or of the first ``limit`` that are indexed: stored tables, built once an application and folder.
 
     Where the documents' files have changed since, the index is built anew and the old one's tables are dropped.
     """
     key = (spark.sparkContext.applicationId, folder, limit)
-    state = _state(spark, f"{folder}/documents.parquet")
+    state = file_state(spark, f"{folder}/documents.parquet")
     if key in _built and _built[key][0] != state:
         drop_tables(spark, stored_tables(spark) - _built.pop(key)[2])
     if key not in _built:

@@ -88,6 +88,16 @@ def _spans(kind: str, select: str) -> str:
     return _blocks(f"SELECT {select} FROM (SELECT record_id, area, block_no, b.section AS section, CAST(unnest(range(len(b.{kind}))) AS INTEGER) AS span_no, unnest(b.{kind}) AS s FROM blocks) x")
 
 
+def _entries(kind: str, select: str) -> str:
+    return f"SELECT record_id, e.key AS entry_key, {select} FROM (SELECT record_id, unnest(map_entries({kind})) AS e FROM papers)"
+
+
+_MIDDLE = "CASE WHEN len(a.middle) > 0 THEN array_to_string(list_transform(a.middle, lambda x: coalesce(x, '')), '|') END AS middle"
+_AUTHORS = "(SELECT record_id, CAST(unnest(range(len(metadata.authors))) AS INTEGER) AS author_no, unnest(metadata.authors) AS a FROM papers)"
+_BIB = "SELECT record_id, e.key AS entry_key, CAST(unnest(range(len(e.value.authors))) AS INTEGER) AS author_no, unnest(e.value.authors) AS a FROM (SELECT record_id, unnest(map_entries(bib_entries)) AS e FROM papers)"
+_PLACE = "a.affiliation.laboratory AS laboratory, a.affiliation.institution AS institution, a.affiliation.location.addrLine AS \"addrLine\", a.affiliation.location.country AS country"
+_WHOLE_SPAN = 'record_id, area, block_no, span_no, section, s."start" AS "start", s."end" AS "end", s.text AS text, s.ref_id AS ref_id'
+
 _TRUE_LEN = """SELECT shard_id, token_id, CAST(4 + sum(12 + 4 * freq) AS BIGINT) AS true_length FROM
     (SELECT shard_id, token_id, doc_id, max(freq) AS freq FROM postings GROUP BY ALL) GROUP BY ALL"""
 _UNITS = "SELECT shard_id, token_id, doc_id, max(freq) AS freq FROM postings GROUP BY ALL"
@@ -153,6 +163,14 @@ def oracle_sql() -> dict[str, str]:
         "p2_cite_spans": _spans("cite_spans", "record_id, area, block_no, span_no, section, s.\"start\" AS \"start\", s.ref_id AS ref_id"),
         "p2_ref_entries": "SELECT record_id, e.key AS entry_key, e.value.text AS text, e.value.type AS type FROM (SELECT record_id, unnest(map_entries(ref_entries)) AS e FROM papers)",
         "p2_bib_entries": "SELECT record_id, e.key AS entry_key, e.value.title AS title, e.value.year AS year, e.value.venue AS venue FROM (SELECT record_id, unnest(map_entries(bib_entries)) AS e FROM papers)",
+        "p2_whole_records": "SELECT record_id, source_tag, paper_id, metadata.title AS title, ingested_at FROM papers",
+        "p2_whole_ref_spans": _spans("ref_spans", _WHOLE_SPAN),
+        "p2_whole_cite_spans": _spans("cite_spans", _WHOLE_SPAN),
+        "p2_whole_ref_entries": _entries("ref_entries", "e.value.text AS text, e.value.latex AS latex, e.value.type AS type"),
+        "p2_whole_bib_entries": _entries("bib_entries", "e.value.ref_id AS ref_id, e.value.title AS title, e.value.year AS year, e.value.venue AS venue, e.value.volume AS volume, e.value.issn AS issn, e.value.pages AS pages"),
+        "p2_authors": f"SELECT record_id, author_no, a.first AS first, {_MIDDLE}, a.last AS last, a.suffix AS suffix, {_PLACE}, a.email AS email FROM {_AUTHORS}",
+        "p2_bib_authors": f"SELECT record_id, entry_key, author_no, a.first AS first, {_MIDDLE}, a.last AS last, a.suffix AS suffix FROM ({_BIB})",
+        "p2_affiliations": f"SELECT record_id, author_no, {_PLACE} FROM {_AUTHORS} WHERE a.affiliation IS NOT NULL",
         "p3_found": f"SELECT DISTINCT o.shard_id, o.token_id FROM postings_offsets o LEFT JOIN ({_TRUE_LEN}) t USING (shard_id, token_id) WHERE o.length IS DISTINCT FROM coalesce(true_length, 4)",
         "p3_lengths": _TRUE_LEN,
         "p3_summary": f"""SELECT shard_id, token_id, CAST(sum(w) AS BIGINT) AS n, count(freq) AS distinct_values, CAST(sum(w * freq) AS BIGINT) AS total, arg_max(freq, w * 1000000000 - freq) AS mode

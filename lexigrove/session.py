@@ -58,6 +58,14 @@ def filesystem(spark: SparkSession, path: str) -> tuple:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """Names, lengths and times of a table's files: other ones where it has changed."""
+    fs, p = filesystem(spark, path)
+    status = fs.getFileStatus(p)
+    files = fs.listStatus(p) if status.isDirectory() else [status]
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def stored_tables(spark: SparkSession) -> set[str]:
     """Paths of the tables that this application has stored and not dropped."""
     return {p for p, a in _tables.items() if a == spark.sparkContext.applicationId}

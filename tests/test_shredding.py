@@ -84,7 +84,7 @@ def test_whole_tables(spark, tmp_path):
            {"B1": ("b1", "t", [("E", ["x"], "F", "s")], 1999, "v", "7", "i", "1-2"), "B2": ("b2", None, None, None, None, None, None, None)}, {"F1": ("cap", "x^2", "figure")}, when)
     bare = (None, "pdf", None, ("U", [("G", ["h"], None, None, (None, None, None), None)]), None, None, None, None, None, None)
     spark.createDataFrame([row, bare], schema).write.parquet(f"file://{tmp_path}/papers.parquet")
-    got = {q: {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in f(spark, f"file://{tmp_path}").collect()} for q, f in S.queries().items() if "whole" in q or "authors" in q}
+    got = {q: {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in f(spark, f"file://{tmp_path}").collect()} for q, f in S.queries().items() if "whole" in q or "authors" in q or "affil" in q}
     assert got == {
         "p2_whole_records": {(1, "pmc", "P1", "T", when), (None, "pdf", None, "U", None)},
         "p2_whole_ref_spans": {(1, "abstract", 0, 0, "S", 3, None, "r", "F1")},
@@ -92,8 +92,9 @@ def test_whole_tables(spark, tmp_path):
         "p2_whole_ref_entries": {(1, "F1", "cap", "x^2", "figure")},
         "p2_whole_bib_entries": {(1, "B1", "b1", "t", 1999, "v", "7", "i", "1-2"), (1, "B2", "b2", None, None, None, None, None, None)},
         "p2_authors": {
-            (1, 0, "A", ("m", None, "n"), "B", "Jr", "lab", "inst", "street", "land", "a@b"), (1, 1, *[None] * 9),
-            (1, 2, "C", None, "D", *[None] * 6), (None, 0, "G", ("h",), *[None] * 7),
+            (1, 0, "A", "m||n", "B", "Jr", "lab", "inst", "street", "land", "a@b"), (1, 1, *[None] * 9),
+            (1, 2, "C", None, "D", *[None] * 6), (None, 0, "G", "h", *[None] * 7),
         },
-        "p2_bib_authors": {(1, "B1", 0, "E", ("x",), "F", "s")},
+        "p2_bib_authors": {(1, "B1", 0, "E", "x", "F", "s")},
+        "p2_affiliations": {(1, 0, "lab", "inst", "street", "land"), (None, 0, None, None, None, None)},
     }
