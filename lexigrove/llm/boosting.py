@@ -28,26 +28,23 @@ class Boosted:
             node = np.zeros(n, int)
             feat, cut = [], []
             for level in range(self.depth):
-                fs, cs = np.zeros(1 << level, int), np.full(1 << level, np.inf)
-                new = node * 2
-                for k in range(1 << level):
-                    at = np.flatnonzero(node == k)
-                    best = 1e-6
-                    if len(at) >= 2:
-                        G, H = g[at].sum(), h[at].sum()
-                        for j in range(d):
-                            if not len(cuts[j]):
-                                continue
-                            gl = np.cumsum(np.bincount(code[at, j], g[at], len(cuts[j]) + 1))[:-1]
-                            hl = np.cumsum(np.bincount(code[at, j], h[at], len(cuts[j]) + 1))[:-1]
-                            gain = gl**2 / (hl + self.ridge) + (G - gl) ** 2 / (H - hl + self.ridge) - G**2 / (H + self.ridge)
-                            b = int(gain.argmax())
-                            if gain[b] > best:
-                                best, fs[k], cs[k] = gain[b], j, cuts[j][b]
-                    new[at] += x[at, fs[k]] > cs[k]
+                k = 1 << level
+                fs, cs, best = np.zeros(k, int), np.full(k, np.inf), np.full(k, 1e-6)
+                G, H = np.bincount(node, g, k), np.bincount(node, h, k)
+                for j in range(d):
+                    m = len(cuts[j]) + 1
+                    if m == 1:
+                        continue
+                    at = node * m + code[:, j]  # all nodes of the level at once
+                    gl, hl = (np.cumsum(np.bincount(at, w, k * m).reshape(k, m), 1)[:, :-1] for w in (g, h))
+                    gain = gl**2 / (hl + self.ridge) + (G[:, None] - gl) ** 2 / (H[:, None] - hl + self.ridge) - (G**2 / (H + self.ridge))[:, None]
+                    c = gain.argmax(1)
+                    top = gain[np.arange(k), c]
+                    better = top > best
+                    best[better], fs[better], cs[better] = top[better], j, cuts[j][c[better]]
+                node = node * 2 + (x[np.arange(n), fs[node]] > cs[node])
                 feat.append(fs)
                 cut.append(cs)
-                node = new
             G = np.bincount(node, g, 1 << self.depth)
             H = np.bincount(node, h, 1 << self.depth)
             leaf = self.rate * G / (H + self.ridge)
@@ -57,6 +54,10 @@ class Boosted:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probabilities of class 1."""
+        return 1 / (1 + np.exp(-self.odds(x)))
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        """Log odds of class 1."""
         f = np.full(len(x), self.base)
         rows = np.arange(len(x))
         for feat, cut, leaf in self.trees:
@@ -64,4 +65,4 @@ class Boosted:
             for fs, cs in zip(feat, cut, strict=True):
                 node = node * 2 + (x[rows, fs[node]] > cs[node])
             f += leaf[node]
-        return 1 / (1 + np.exp(-f))
+        return f

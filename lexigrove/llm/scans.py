@@ -1,10 +1,11 @@
 """Repair of texts from page scans: divided words, misread characters, running headers and page numbers.
 
-Three models are trained here, on samples of the corpus's own clean texts put through a simulated scan: a boosted
-ranker that tells for a word and a correction candidate whether it is one, and two classifiers that judge a line
-with its neighbours, for furniture and for words divided at the line's end. Candidates come from an inverted join
-on anchored character q-grams of words in a folded spelling, in which most characters that scanners confuse are the
-same, and on the whole word in a coarser one, in which all are. Every count of words is over the whole corpus.
+The models are trained here, on samples of the corpus's own clean texts put through a simulated scan: a boosted
+ranker that tells for a word and a correction candidate whether it is one, and classifiers of line pairs, which judge
+each line with the one before and the one after it, for furniture and for words divided at the line's end. Candidates
+come from an inverted join on anchored character q-grams of words in a folded spelling, in which most characters that
+scanners confuse are the same, and on the whole word in a coarser one, in which all are; beside them a word with digits
+among letters, or letters among digits, is offered in the other reading. Every count of words is over the whole corpus.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log, log1p
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import WORD
 from lexigrove.llm.boosting import Boosted
 from lexigrove.llm.frequency import FLUSH
+from lexigrove.llm.sampling import hashed_sample
 from lexigrove.session import materialize
 
 # Characters and what scanners take them for.
@@ -35,8 +39,13 @@ HYPHENS = "-‐¬\xad"
 #: Bounds of the training samples.
 SAMPLE_DOCS = 400
 SAMPLE_WORDS = 4_000
-#: A word in this share of the documents or more is known without a look-up; such words are a bounded table.
+#: A word in this share of the documents or more is known without a look-up: at most HEAD_ROWS words are; where more are so common, only commoner ones.
 HEAD_SHARE = 0.001
+HEAD_ROWS = 200_000
+#: Words of the dictionary that one key of the candidate join may have in one task; keys with more are split.
+GRAM_ROWS = 2_000
+#: A text of fewer lines that hold something is a scan only where a line classifier finds furniture or a divided word in it.
+SHORT = 4
 #: A word is suspicious where at least this share of its occurrences is in page scans, and a candidate is so many times as frequent.
 SCAN_SHARE = 0.5
 TIMES = 2
@@ -62,11 +71,14 @@ _SENTENCE_END = re.compile(r"[.!?:][)\]\"”]*\s*$")
 
 
 def is_scan(text: str | None) -> bool:
-    """Whether ``text`` is wrapped into short lines of about one width that run on from one to the next, with hyphenation or pages."""
-    if not text or text.count("\n") < 3:
+    """Whether ``text`` is wrapped into short lines of about one width that run on from one to the next, with hyphenation or pages.
+
+    Of texts of fewer than SHORT lines it means that they may be: the line classifiers decide.
+    """
+    if not text or "\n" not in text:
         return False
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) < 4:
+    if len(lines) < 2:
         return False
     low = sum(x.lstrip()[:1].islower() for x in lines[1:])
     sizes = sorted(map(len, lines))
@@ -141,6 +153,33 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
     return out
 
 
+def pair_sides(f: np.ndarray, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For lines with features ``f``, given as the rows of each text that hold something, in order, two line pairs each: with the line before, and with the one after.
+
+    Where there is none its features are zeros.
+    """
+    before, after = np.zeros_like(f), np.zeros_like(f)
+    for at in texts:
+        before[at[1:]] = f[at[:-1]]
+        after[at[:-1]] = f[at[1:]]
+    return np.hstack([before, f]), np.hstack([f, after])
+
+
+@dataclass
+class PairModel:
+    """Whether a line is of a kind, by the pair that it ends and the pair that it begins: the mean of their log odds."""
+
+    second: Boosted
+    first: Boosted
+
+    @staticmethod
+    def fit(pairs: tuple[np.ndarray, np.ndarray], y: np.ndarray, trees: int) -> "PairModel":
+        return PairModel(*(Boosted(trees=trees).fit(x, y) for x in pairs))
+
+    def score(self, pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.second.odds(pairs[0]) + self.first.odds(pairs[1])) / 2))
+
+
 def split_end(line: str) -> tuple[str, str] | None:
     """The last word before a hyphen at the line's end, and the hyphen; None where the line ends otherwise or the word is part of a longer compound's start."""
     m = _END.search(line.rstrip("\r\f"))
@@ -241,19 +280,24 @@ def simulate(text: str, title: str, venue: str, rng: random.Random) -> tuple[lis
     return out, kind
 
 
-def fit_lines(samples: list[tuple[str, str, str]], seed: int = 7) -> tuple[Boosted, Boosted]:
-    """Classifiers of headers and page numbers, from clean (text, title, venue)."""
+def _held(lines: list[str]) -> list[int]:
+    return [i for i, s in enumerate(lines) if s.strip("\f \r\t")]
+
+
+def fit_lines(samples: list[tuple[str, str, str]], seed: int = 7) -> tuple[PairModel, PairModel]:
+    """Line-pair classifiers of headers and page numbers, from clean (text, title, venue)."""
     rng = random.Random(seed)
-    x, y = [np.zeros((0, LINE_FEATURES))], [0][:0]
+    x, y, at, n = [np.zeros((0, LINE_FEATURES))], [0][:0], [], 0
     for text, title, venue in samples:
         hide = rng.random()  # some documents lack one of them
         lines, kind = simulate(text, title, venue, rng)
-        f = line_features(lines, None if hide < 0.04 else title, None if hide > 0.96 else venue)
-        keep = [i for i, s in enumerate(lines) if s.strip("\f \r\t")]
-        x.append(f[keep])
+        keep = _held(lines)
+        x.append(line_features(lines, None if hide < 0.04 else title, None if hide > 0.96 else venue)[keep])
         y += [kind[i] for i in keep]
-    X, Y = np.concatenate(x), np.array(y, int)
-    return Boosted(trees=100).fit(X, (Y == 1).astype(float)), Boosted(trees=30).fit(X, (Y == 2).astype(float))
+        at.append(np.arange(n, n + len(keep)))
+        n += len(keep)
+    pairs, Y = pair_sides(np.concatenate(x), at), np.array(y, int)
+    return PairModel.fit(pairs, (Y == 1).astype(float), 70), PairModel.fit(pairs, (Y == 2).astype(float), 20)
 
 
 # Words of the corpus
@@ -339,26 +383,46 @@ def _grams(df: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return df.withColumn("__k", F.explode(F.array_distinct(keys))).select("*", "__k.gram", "__k.len").drop("__k")
 
 
-def candidates(suspects: DataFrame, words: DataFrame) -> DataFrame:
+def candidates(suspects: DataFrame, words: DataFrame, most: int = GRAM_ROWS) -> DataFrame:
     """token, cand and the counts of both: words of the dictionary that share an anchored gram and nearly a length with a suspect in folded spelling, and differ little, or share its shape.
 
     A word misread by CONFUSIONS only, however short it is and often they occur, has the shape of the true one. Other changes
     are found by grams, thus in words of two grams or more for certain, and no model here is taught to accept them.
+    A key with more than ``most`` words of the dictionary is split: these are spread by a hash, and its suspects meet each part.
 
     ``suspects``: token, occ, df. A candidate is met TIMES as often as the suspect or more.
     """
     s = _grams(suspects.withColumn("folded", _fold_column(F.col("token"))), (0,))
     d = dictionary(words).select(F.col("term").alias("cand"), F.col("occ").alias("cocc"), F.col("df").alias("cdf"), _fold_column(F.col("term")).alias("cfold"))
     d = _grams(d.withColumnRenamed("cfold", "folded"), (-1, 0, 1)).withColumnRenamed("folded", "cfold")
+    hot = materialize(d.groupBy("gram", "len").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).where("parts > 1"))
+    part = F.pmod(F.xxhash64("cand"), F.coalesce("parts", F.lit(1))).cast("int")
+    d = d.join(hot, ["gram", "len"], "left").withColumn("part", part).drop("parts")
+    s = s.join(hot, ["gram", "len"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     close = (F.levenshtein("folded", "cfold", 1) >= 0) | (_shape_column(F.col("folded")) == _shape_column(F.col("cfold")))
     return (
-        s.join(d, ["gram", "len"])
+        s.join(d, ["gram", "len", "part"])
         .where((F.col("cand") != F.col("token")) & (F.col("cocc") >= F.col("occ") * TIMES) & close)
         .select("token", "occ", "df", "cand", "cocc", "cdf")
         .distinct()
     )
 
 
+# Of words with digits among letters, and of numbers with letters among digits, the other reading.
+INNER_DIGIT = r"^(?=[\p{L}\d]{7,}$)(?=(?:\D*\d){1,2}\D*$)\p{L}{2,}[0159][\p{L}\d]*\p{L}$"
+INNER_LETTER = r"^(?:\d+o[\do]*|\d*l\d+)$"
+
+
+def other_readings(suspects: DataFrame, words: DataFrame) -> DataFrame:
+    """The columns of :func:`candidates`: the other reading of suspects that mix digits and letters, met or not (cocc and cdf 0)."""
+    t = F.col("token")
+    read = F.when(t.rlike(INNER_DIGIT), F.translate(t, "0159", "olsg")).when(t.rlike(INNER_LETTER), F.translate(t, "ol", "01"))
+    r = suspects.withColumn("cand", read).where("cand IS NOT NULL AND cand <> token")
+    known = words.select(F.col("term").alias("cand"), F.col("occ").alias("cocc"), F.col("df").alias("cdf"))
+    zero = F.lit(0).cast("long")
+    return r.join(known, "cand", "left").select("token", "occ", "df", "cand", F.coalesce("cocc", zero).alias("cocc"), F.coalesce("cdf", zero).alias("cdf"))
+
+
 def confusions_between(seen: str, true: str, most: int = 4) -> int:
     """Least number of confusions that make ``seen`` of ``true``; ``most`` + 1 where these don't."""
     best = {(0, 0): 0}
@@ -375,7 +439,7 @@ def confusions_between(seen: str, true: str, most: int = 4) -> int:
     return min(best.get((len(true), len(seen)), most + 1), most + 1)
 
 
-PAIR_FEATURES = 8
+PAIR_FEATURES = 10
 
 
 def pair_features(rows: list[dict]) -> np.ndarray:
@@ -383,42 +447,74 @@ def pair_features(rows: list[dict]) -> np.ndarray:
     for k, r in enumerate(rows):
         t, c = r["token"], r["cand"]
         lead = next((i for i, (x, y) in enumerate(zip(t, c, strict=False)) if x != y), min(len(t), len(c)))
+        digits = sum(ch.isdigit() for ch in t)
         out[k] = (
-            confusions_between(t, c), fold(t) == fold(c), log(r["cocc"] / r["occ"]), log(r["cdf"] / r["df"]),
-            any(ch.isdigit() for ch in t), len(t), lead / max(1, len(c)), len(t) - len(c),
+            confusions_between(t, c), fold(t) == fold(c), log((r["cocc"] + 0.5) / r["occ"]), log((r["cdf"] + 0.5) / r["df"]),
+            digits, len(t), lead / max(1, len(c)), len(t) - len(c), r["cocc"] > 0, digits / len(t),
         )
     return out
 
 
-def rank_corrections(words: DataFrame, seed: int = 7) -> DataFrame:
-    """token, cand, score: the best candidate of each suspicious word, with its probability of being the true one. ``words`` is stored."""
-    sus = words.where(_suspicious()).select(F.col("term").alias("token"), "occ", "df", F.lit("t").alias("part"))
-    # To learn from: misread forms of words, and words of clean texts, which need no correction.
-    pick = F.xxhash64("term", F.lit(seed))
-    clean = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & F.col("term").rlike(r"^\p{L}{2,}$")).orderBy(pick, "term")
-    known = clean.where("occ >= 2").limit(SAMPLE_WORDS).select("term", "occ", "df").toArrow().to_pylist()
+def _reading_samples(words: DataFrame, known: list[dict], seed: int) -> list[tuple[dict, int]]:
+    """Candidates of :func:`other_readings` to learn from: words and numbers with one character taken for another, and clean words that look like that but are right."""
     rng = random.Random(seed)
-    true: dict[str, tuple[str, int, int]] = {}
-    for r in known:
-        for _ in range(2):
-            t = misread(r["term"], rng)
-            if rng.random() < 0.1:
-                t = misread(t, rng)
-            rate = 10 ** -rng.uniform(0.4, 4.5)  # misread forms are met so often beside the true one
-            if t != r["term"]:
-                true.setdefault(t, (r["term"], max(1, int(r["occ"] * rate)), max(1, int(r["df"] * rate))))
-    for r in known:
-        true.pop(r["term"], None)
+    out = []
+    numbers = hashed_sample(words.where(F.col("term").rlike(r"^\d{2,}$") & (F.col("scan_occ") < F.col("occ") * SCAN_SHARE)), ["term"], SAMPLE_WORDS, seed).select("term", "occ", "df").toArrow().to_pylist()
+    for r in sorted(known, key=lambda r: r["term"]) + sorted(numbers, key=lambda r: r["term"]):
+        w = r["term"]
+        to, at = ({"o": "0", "l": "1", "s": "5", "g": "9"}, range(2, len(w) - 1)) if not w.isdigit() else ({"0": "o", "1": "l"}, range(len(w)))
+        sites = [i for i in at if w[i] in to]
+        if not sites or not w.isdigit() and len(w) < 7:
+            continue
+        i = rng.choice(sites)
+        met = rng.random() < 0.5  # the true one may be met nowhere else
+        t = w[:i] + to[w[i]] + w[i + 1 :]
+        if regex.match(INNER_DIGIT, t) or regex.match(INNER_LETTER, t):
+            rate = 10 ** -rng.uniform(0.4, 4.5)
+            occ, df = max(1, int(r["occ"] * rate)), max(1, int(r["df"] * rate))
+            out.append(({"token": t, "occ": occ, "df": df, "cand": w, "cocc": r["occ"] * met, "cdf": r["df"] * met}, 1))
+    right = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & (F.col("term").rlike(INNER_DIGIT) | F.col("term").rlike(INNER_LETTER)))
+    right = hashed_sample(right, ["term"], SAMPLE_WORDS, seed).select(F.col("term").alias("token"), "occ", "df")
+    return out + [(r, 0) for r in sorted(other_readings(right, words).toArrow().to_pylist(), key=lambda r: r["token"])]
+
+
+def rank_corrections(words: DataFrame, seed: int = 7, ranker: Boosted | None = None) -> tuple[DataFrame, Boosted]:
+    """token, cand, score: the best candidate of each suspicious word, with its probability of being the true one; and the ranker, fitted here unless it is given.
+
+    ``words`` is stored. Candidates of the training sample come from the same join as those of the suspicious words.
+    """
+    sus = words.where(_suspicious()).select(F.col("term").alias("token"), "occ", "df", F.lit("t").alias("part"))
     spark = words.sparkSession
-    fake = spark.createDataFrame([(t, o, d, "f") for t, (_, o, d) in true.items()], "token string, occ long, df long, part string")
-    fake = fake.join(words.select(F.col("term").alias("token")), "token", "left_anti")
-    clean = clean.limit(SAMPLE_WORDS).select(F.col("term").alias("token"), "occ", "df", F.lit("c").alias("part"))
-    every = sus.unionByName(fake).unionByName(clean)
-    parts = every.select("token", "part")
-    pairs = materialize(candidates(every.drop("part"), words).join(parts, "token"))
-    train = pairs.where("part != 't'").toArrow().to_pylist()  # candidates of the bounded samples
-    y = np.array([r["part"] == "f" and true[r["token"]][0] == r["cand"] for r in train], float)
-    model = spark.sparkContext.broadcast(Boosted().fit(pair_features(train), y))
+    every, true, more = sus, {}, []
+    if ranker is None:
+        # To learn from: misread forms of words, and words of clean texts, which need no correction.
+        clean = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & F.col("term").rlike(r"^\p{L}{2,}$"))
+        rows = hashed_sample(clean.where("occ >= 2"), ["term"], SAMPLE_WORDS, seed).select("term", "occ", "df").toArrow().to_pylist()
+        known = sorted(rows, key=lambda r: r["term"])
+        rng = random.Random(seed)
+        for r in known:
+            for _ in range(2):
+                t = misread(r["term"], rng)
+                if rng.random() < 0.1:
+                    t = misread(t, rng)
+                rate = 10 ** -rng.uniform(0.4, 4.5)  # misread forms are met so often beside the true one
+                if t != r["term"]:
+                    true.setdefault(t, (r["term"], max(1, int(r["occ"] * rate)), max(1, int(r["df"] * rate))))
+        for r in known:
+            true.pop(r["term"], None)
+        fake = spark.createDataFrame([(t, o, d, "f") for t, (_, o, d) in true.items()], "token string, occ long, df long, part string")
+        fake = fake.join(words.select(F.col("term").alias("token")), "token", "left_anti")
+        right = hashed_sample(clean, ["term"], SAMPLE_WORDS, seed + 1).select(F.col("term").alias("token"), "occ", "df", F.lit("c").alias("part"))
+        every = sus.unionByName(fake).unionByName(right)
+        more = _reading_samples(words, known, seed)
+    both = candidates(every.drop("part"), words).join(every.select("token", "part"), "token")
+    readings = other_readings(sus.drop("part"), words).withColumn("part", F.lit("t"))
+    pairs = materialize(both.unionByName(readings).distinct())
+    if ranker is None:
+        train = sorted(pairs.where("part != 't'").toArrow().to_pylist(), key=lambda r: (r["token"], r["cand"]))  # candidates of the bounded samples
+        y = [float(r["part"] == "f" and true[r["token"]][0] == r["cand"]) for r in train] + [float(k) for _, k in more]
+        ranker = Boosted().fit(pair_features(train + [r for r, _ in more]), np.array(y, float))
+    model = spark.sparkContext.broadcast(ranker)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,7 +523,7 @@ def rank_corrections(words: DataFrame, seed: int = 7) -> DataFrame:
 
     scored = pairs.where("part = 't'").drop("part").mapInArrow(score, "token string, cand string, cocc long, score double")
     best = F.max(F.struct("score", "cocc", "cand"))
-    return scored.groupBy("token").agg(best.alias("b")).select("token", F.col("b.cand").alias("cand"), F.col("b.score").alias("score"))
+    return scored.groupBy("token").agg(best.alias("b")).select("token", F.col("b.cand").alias("cand"), F.col("b.score").alias("score")), ranker
 
 
 # Divided words
@@ -443,9 +539,9 @@ def join_features(a: str, b: str, hyphen: str, occ) -> list[float]:
 
 def fit_joins(words: DataFrame, seed: int = 7) -> Boosted:
     """Classifier of line pairs: words divided at random against compounds parted at their hyphen."""
-    pick = F.xxhash64("term", F.lit(seed))
-    single = words.where(F.col("term").rlike(r"^\p{L}{6,}$") & (F.col("occ") > F.col("scan_occ"))).orderBy(pick, "term").limit(SAMPLE_WORDS).select("term").toArrow().column(0).to_pylist()
-    compound = words.where(F.col("term").rlike(r"^\p{L}{2,}-\p{L}{2,}$") & (F.col("df") >= 2)).orderBy(pick, "term").limit(SAMPLE_WORDS).select("term").toArrow().column(0).to_pylist()
+    terms = lambda df: sorted(hashed_sample(df, ["term"], SAMPLE_WORDS, seed).select("term").toArrow().column(0).to_pylist())
+    single = terms(words.where(F.col("term").rlike(r"^\p{L}{6,}$") & (F.col("occ") > F.col("scan_occ"))))
+    compound = terms(words.where(F.col("term").rlike(r"^\p{L}{2,}-\p{L}{2,}$") & (F.col("df") >= 2)))
     rng = random.Random(seed)
     cases = []
     for w in single:
@@ -472,18 +568,18 @@ HEADER, PAGE, BROKEN, MISREAD = "header", "page_number", "broken_word", "misread
 _RESULT = "doc_id {id}, text string, found array<struct<line_no:int,kind:string>>"
 
 
-def line_kinds(texts: list[tuple[list[str], str | None, str | None]], head: Boosted, page: Boosted) -> list[list[int]]:
-    """For each text (lines, title, venue) and line 0 body, 1 header, 2 page number. The models judge the lines of all texts at once."""
+def line_kinds(texts: list[tuple[list[str], str | None, str | None]], head: PairModel, page: PairModel) -> list[list[int]]:
+    """For each text (lines, title, venue) and line 0 body, 1 header, 2 page number. The models judge the pairs of all texts at once."""
     if not texts:
         return []
-    f = np.concatenate([line_features(*t) for t in texts])
-    h, p = head.score(f), page.score(f)
-    kind = np.where((p > 0.5) & (p >= h), 2, np.where(h > 0.5, 1, 0))
-    out, at = [], 0
-    for lines, _, _ in texts:
-        out.append([int(k) if x.strip("\f \r\t") else 0 for x, k in zip(lines, kind[at : at + len(lines)], strict=True)])
-        at += len(lines)
-    return out
+    start = np.cumsum([0] + [len(lines) for lines, _, _ in texts])
+    held = [np.array(_held(lines), int) + at for (lines, _, _), at in zip(texts, start, strict=False)]
+    pairs = pair_sides(np.concatenate([line_features(*t) for t in texts]), held)
+    every = np.concatenate(held)
+    h, p = (m.score((pairs[0][every], pairs[1][every])) for m in (head, page))
+    kind = np.zeros(start[-1], int)
+    kind[every] = np.where((p > 0.5) & (p >= h), 2, np.where(h > 0.5, 1, 0))
+    return [kind[a:b].tolist() for a, b in zip(start, start[1:], strict=False)]
 
 
 def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
@@ -495,12 +591,6 @@ def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
     return out
 
 
-# A long word of letters with a digit or two inside: misread even where no known word is like it.
-_INNER_DIGIT = re.compile(r"(?=[^\W_]{7,}$)(?=(?:\D*\d){1,2}\D*$)[^\W\d_]{2,}[0159][^\W_]*[^\W\d_]")
-_AS_LETTER = str.maketrans("0159", "olsg")
-_DIGITISH = re.compile(r"\d+O[\dO]*|\d*l\d+")
-
-
 def _body(lines: list[str], kinds: list[int]) -> list[bool]:
     return [k == 0 and bool(x.strip("\f \r\t")) for x, k in zip(lines, kinds, strict=True)]
 
@@ -535,10 +625,6 @@ def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int]
             if (k == 0 and skip_first) or (k == last and i in broken):
                 continue
             c = correction(w.lower())
-            if c is None and _INNER_DIGIT.fullmatch(w):
-                c = w.lower().translate(_AS_LETTER)
-            elif c is None and _DIGITISH.fullmatch(w):
-                c = w.replace("O", "0").replace("l", "1")
             if c is not None:
                 hit = True
                 c = c.upper() if w.isupper() and len(w) > 1 else c[:1].upper() + c[1:] if w[:1].isupper() else c
@@ -559,38 +645,78 @@ def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int]
     return "".join(out), sorted(found)
 
 
-def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = "title", venue: str | None = "venue") -> DataFrame:
+@dataclass
+class Models:
+    """Fitted on one corpus, for the scans of any: line-pair classifiers of headers and page numbers, of divided words, and the ranker of corrections."""
+
+    head: PairModel
+    page: PairModel
+    joins: Boosted
+    ranker: Boosted
+
+
+def _source(docs: DataFrame, doc_id: str, text: str, title: str | None, venue: str | None) -> DataFrame:
+    none = F.lit(None).cast("string")
+    of = lambda c: none if c is None else F.col(f"`{c}`").cast("string")
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), of(text).alias("text"), of(title).alias("title"), of(venue).alias("venue"))
+
+
+def _clean_sample(src: DataFrame, n: int) -> list[tuple[str, str, str]]:
+    """At most SAMPLE_DOCS clean (text, title, venue), the first by a hash of their ids; of a large corpus only documents under a threshold of it are looked at."""
+    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    some = src.where(pick < int((1 << 30) * min(1.0, 8 * SAMPLE_DOCS / max(1, n))))
+    clean = some.where(~F.col("text").rlike(_RUNS_ON) & (F.length("text") > 600) & F.col("title").isNotNull() & F.col("venue").isNotNull())
+    return [(r["text"], r["title"], r["venue"]) for r in clean.orderBy(pick, "doc_id").select("text", "title", "venue").limit(SAMPLE_DOCS).toArrow().to_pylist()]
+
+
+def fit_models(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = "title", venue: str | None = "venue") -> Models:
+    """Models of a corpus with clean texts, which repair the scans of it or of another. Raises ``ValueError`` where it has none to learn from."""
+    src = _source(docs, doc_id, text, title, venue)
+    clean = _clean_sample(src, docs.count())
+    if not clean:
+        raise ValueError("no clean text to learn from")
+    words = materialize(corpus_words(src))
+    return Models(*fit_lines(clean), fit_joins(words), rank_corrections(words)[1])
+
+
+def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = "title", venue: str | None = "venue", models: Models | None = None) -> DataFrame:
     """doc_id, text, found: each page scan of ``docs`` as continuous paragraphs, with the lines and kinds of what was repaired.
 
     Other texts, null and empty ones included, give no row: they need no repair. ``title`` and ``venue`` name the
     columns that running headers may repeat, or None. Rows that repeat an id are repaired alike and give a row each.
+    ``models``: those of :func:`fit_models`, or None to fit them on the clean texts of ``docs``; where it holds scans but
+    no clean text, ``ValueError`` is raised.
     """
-    none = F.lit(None).cast("string")
-    src = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"),
-        (none if title is None else F.col(f"`{title}`").cast("string")).alias("title"), (none if venue is None else F.col(f"`{venue}`").cast("string")).alias("venue"),
-    )
+    src = _source(docs, doc_id, text, title, venue)
     sc = docs.sparkSession.sparkContext
     n = docs.count()
+    id_type = src.schema["doc_id"].dataType.simpleString()
+    clean = [] if models else _clean_sample(src, n)
+    if models is None and not clean:
+        def gate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.slice(0, int(any(map(is_scan, b.column(0).to_pylist()))))
+
+        if not src.where(F.col("text").rlike(_RUNS_ON)).select("text").mapInArrow(gate, "text string").isEmpty():
+            raise ValueError("no clean text to learn from: models must be given")
+        return docs.sparkSession.createDataFrame([], _RESULT.format(id=id_type))
     words = materialize(corpus_words(src))
     least = max(50.0, n * HEAD_SHARE)
-    head = words.where((F.col("df") >= least) & ~_suspicious()).select("term", "occ").toArrow().to_pydict()  # bounded: at most mean distinct words of a text / HEAD_SHARE
-    known = sc.broadcast(dict(zip(head["term"], head["occ"], strict=True)))
-    fixes = rank_corrections(words)
-
-    clean = src.where(~F.col("text").rlike(_RUNS_ON) & (F.length("text") > 600) & F.col("title").isNotNull() & F.col("venue").isNotNull())
-    rows = clean.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "title", "venue").limit(SAMPLE_DOCS).toArrow().to_pylist()
-    models = sc.broadcast((*fit_lines([(r["text"], r["title"], r["venue"]) for r in rows]), fit_joins(words)))
-
-    id_type = src.schema["doc_id"].dataType.simpleString()
+    while words.where(F.col("df") >= least).count() > HEAD_ROWS:
+        least *= 2
+    fixes, ranker = rank_corrections(words, ranker=models.ranker if models else None)
+    fixes = fixes.where("score > 0.5").withColumnRenamed("token", "term").drop("score")
+    # Common words, however many of them stand in scans, are looked up in a table of bounded size.
+    head = words.where(F.col("df") >= least).select("term", "occ").join(fixes, "term", "left").toArrow().to_pydict()
+    known = sc.broadcast({t: (o, c) for t, o, c in zip(head["term"], head["occ"], head["cand"], strict=True)})
+    fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words), ranker))
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_model, page_model, _ = models.value
         for b in batches:
             rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             texts = [(i, (t.split("\n"), ti, ve)) for i, (t, ti, ve) in enumerate(rows) if is_scan(t)]
             take = [i for i, _ in texts]
-            kinds = line_kinds([x for _, x in texts], head_model, page_model)
+            kinds = line_kinds([x for _, x in texts], fitted.value.head, fitted.value.page)
             asks = [sorted(w for w in _terms_of(x[0], k) if w not in known.value) for (_, x), k in zip(texts, kinds, strict=True)]
             idx = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(kinds, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.string()))], ["doc_id", "text", "kinds", "asks"])
@@ -601,27 +727,26 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     # Words in few documents only are asked for, so no key of this join is hot.
     answers = (
         labelled.select("row", F.explode("asks").alias("term"))
-        .join(words.where((F.col("df") < least) | _suspicious()).select("term", "occ"), "term", "left")
-        .join(fixes.where("score > 0.5").withColumnRenamed("token", "term"), "term", "left")
+        .join(words.where(F.col("df") < least).select("term", "occ"), "term", "left")
+        .join(fixes, "term", "left")
         .where("occ IS NOT NULL OR cand IS NOT NULL")
         .groupBy("row")
         .agg(F.collect_list(F.struct("term", "occ", "cand")).alias("answers"))  # of one text
     )
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joins = models.value[2]
         for b in batches:
             tables = [{a["term"]: (a["occ"], a["cand"]) for a in answers or ()} for answers in b.column(3).to_pylist()]
             lines = [t.split("\n") for t in b.column(1).to_pylist()]
             kinds = b.column(2).to_pylist()
-            occs = [lambda w, t=t: known.value.get(w) or (t[w][0] or 0 if w in t else 0) for t in tables]
-            fixes_of = [lambda w, t=t: t[w][1] if w in t else None for t in tables]
-            ends = broken_lines(list(zip(lines, kinds, occs, strict=True)), joins)
-            done = [repair(x, k, f, *e) for x, k, f, e in zip(lines, kinds, fixes_of, ends, strict=True)]
-            texts = [x for x, _ in done]
+            asked = [lambda w, t=t: known.value.get(w) or t.get(w) or (0, None) for t in tables]
+            occs = [lambda w, a=a: a(w)[0] or 0 for a in asked]
+            ends = broken_lines(list(zip(lines, kinds, occs, strict=True)), fitted.value.joins)
+            keep = [i for i, (x, k, (_, broken)) in enumerate(zip(lines, kinds, ends, strict=True)) if len(_held(x)) >= SHORT or any(k) or broken]
+            done = [repair(lines[i], kinds[i], lambda w, a=asked[i]: a(w)[1], *ends[i]) for i in keep]
             cases = [[{"line_no": i, "kind": k} for i, k in found] for _, found in done]
             kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(cases, kind)], ["doc_id", "text", "found"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([x for x, _ in done], pa.string()), pa.array(cases, kind)], ["doc_id", "text", "found"])
 
     both = labelled.select("row", "doc_id", "text", "kinds").join(answers, "row", "left").select("doc_id", "text", "kinds", "answers")
     return both.mapInArrow(mend, _RESULT.format(id=id_type))

@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -133,6 +134,118 @@ def test_misread_words(repaired):
     assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.8
 
 
+def typeset(text, title, venue, rng, width=58, per=22):
+    """A scan of another making than the module's own: pages set by textwrap, one running head, one style of number, errors of four kinds, and what each line holds."""
+    body, kinds = [], []
+    for para in text.split("\n"):
+        for raw in textwrap.wrap(para, width - 2, break_long_words=False):
+            body.append(raw)
+    held = []
+    for n, line in enumerate(body[:-1]):
+        first, _, rest = body[n + 1].partition(" ")
+        if len(first) > 7 and first.isalpha() and first.islower() and rest and rng.random() < 0.5:
+            cut = len(first) // 2
+            body[n], body[n + 1] = f"{line} {first[:cut]}-", f"{first[cut:]} {rest}"
+            held.append(n)
+    lines, page, shown = [], 0, rng.randint(2, 90)
+    for n, line in enumerate(body):
+        if n % per == 0:
+            page += 1
+            lines.append(f"{venue}      {shown + page}" if page % 2 else f"{shown + page}      {' '.join(title.split()[:4])}")
+            kinds.append({S.HEADER})
+            if page > 1:
+                lines.insert(-1, str(shown + page - 1))
+                kinds.insert(-1, {S.PAGE})
+        kind = {S.BROKEN} if n in held else set()
+        words = line.split(" ")
+        spots = [k for k in range(1, len(words) - 1) if len(words[k]) > 6 and words[k].isalpha() and words[k].islower()]
+        if spots and rng.random() < 0.15:
+            k = rng.choice(spots)
+            a, b = rng.choice([("m", "rn"), ("l", "1"), ("o", "0"), ("e", "c")])
+            if a in words[k]:
+                words[k] = words[k].replace(a, b, 1)
+                kind.add(S.MISREAD)
+        lines.append(" ".join(words))
+        kinds.append(kind)
+    return lines, kinds
+
+
+def recall_by_kind(got, truth):
+    out = {}
+    for kind in (S.HEADER, S.PAGE, S.BROKEN, S.MISREAD):
+        true = {(i, n) for i, (_, kinds) in truth.items() for n, k in enumerate(kinds) if kind in k}
+        found = {(i, f.line_no) for i, r in got.items() for f in r.found if f.kind == kind}
+        out[kind] = (len(true & found) / len(true), len(true & found) / max(1, len(found)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def typeset_rows(corpus):
+    rng = random.Random(31)
+    truth = {i: typeset(t, ti, v, rng) for i, t, ti, v in corpus[:60]}
+    rows = [(i, "\n".join(truth[i][0]) if i in truth else t, ti, v) for i, t, ti, v in corpus]
+    return rows, truth
+
+
+SCHEMA = "doc_id long, text string, title string, venue string"
+
+
+def test_recall_by_kind_on_other_scans(spark, typeset_rows):
+    rows, truth = typeset_rows
+    got = {r.doc_id: r for r in S.repair_scans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == set(truth)
+    for kind, (recall, precision) in recall_by_kind(got, truth).items():
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
+
+
+def test_corpus_of_scans_only(spark, typeset_rows):
+    rows, truth = typeset_rows
+    only = spark.createDataFrame([r for r in rows if r[0] in truth], SCHEMA)
+    with pytest.raises(ValueError, match="models"):
+        S.repair_scans(only)
+    models = S.fit_models(spark.createDataFrame([r for r in rows if r[0] not in truth], SCHEMA))
+    got = {r.doc_id: r for r in S.repair_scans(only, models=models).collect()}
+    by = recall_by_kind(got, truth)
+    for kind in (S.HEADER, S.PAGE, S.BROKEN):
+        assert min(by[kind]) >= 0.9, (kind, by)
+    assert by[S.MISREAD][1] >= 0.9
+    lost = sum(w not in r.text.lower() for r in got.values() for w in ("the", "with"))
+    assert lost < len(got) * 0.2  # common words are in scans only, and stay
+    with pytest.raises(ValueError):
+        S.fit_models(only)
+
+
+def test_short_scans(spark, corpus):
+    w = "the well phagestatviro tubulomagram was seen in the nectinlomastat of all of"
+    whole = " ".join(sorted({x for _, t, _, _ in corpus for x in t.lower().replace(".", "").split() if len(x) > 9})[:1])
+    cut = len(whole) // 2
+    short = {
+        800: f"{w} {whole[:cut]}-\n{whole[cut:]} {w} the\nof the last of them.",
+        801: f"{w} {whole[:cut]}-\n{whole[cut:]} {w} the",
+        802: f"{w} the\n{w} and\nof no more.",
+        803: "one line only",
+    }
+    rows = [*corpus, *[(i, t, "No such title at all", "Nowhere Letters") for i, t in short.items()]]
+    got = {r.doc_id: r for r in S.repair_scans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert set(got) == {800, 801}
+    assert all(whole in got[i].text and [(f.line_no, f.kind) for f in got[i].found] == [(0, S.BROKEN)] for i in got)
+
+
+def test_hot_keys_are_split(spark):
+    vocab = [f"hepatic{a}{b}oma" for a in "abcdehkmprstuvw" for b in "aeiou"]
+    words = spark.createDataFrame([(w, 9, 9, 0) for w in vocab], "term string, occ long, df long, scan_occ long")
+    seen = spark.createDataFrame([(w.replace("o", "0"), 1, 1) for w in vocab], "token string, occ long, df long")
+    rows = lambda most: sorted(map(tuple, S.candidates(seen, words, most).collect()))
+    assert rows(3) == rows(10**6) and {r[3] for r in rows(3)} >= set(vocab)
+
+
+def test_other_readings(spark):
+    words = spark.createDataFrame([("nectinloma", 9, 9, 0), ("203", 4, 4, 0)], "term string, occ long, df long, scan_occ long")
+    seen = spark.createDataFrame([(t, 1, 1) for t in ("nect1nl0ma", "nectinl0ma", "hepat0stat", "2o3", "l2", "p53", "ab12cd34", "plain")], "token string, occ long, df long")
+    got = {r.token: (r.cand, r.cocc) for r in S.other_readings(seen, words).collect()}
+    assert got == {"nect1nl0ma": ("nectlnloma", 0), "nectinl0ma": ("nectinloma", 9), "hepat0stat": ("hepatostat", 0), "2o3": ("203", 4), "l2": ("12", 0)}
+
+
 def test_empty(repaired):
     df, _, _ = repaired
     assert S.repair_scans(df.limit(0)).count() == 0
