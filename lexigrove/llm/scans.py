@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log1p
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -51,13 +52,12 @@ SCAN_SHARE = 0.5
 TIMES = 2
 GRAM = 5
 
-_UNFOLD = str.maketrans({"d": "cl", "m": "rn", "u": "ii", "w": "vv"})
 _FOLD = str.maketrans({"c": "e", "f": "t", "a": "o", "0": "o", "i": "l", "1": "l", "5": "s", "9": "g", "b": "h", "8": "h", "n": "r", "2": "z"})
 
 
 def fold(s: str) -> str:
     """Spelling in which characters that are taken for each other are the same."""
-    return s.lower().translate(_UNFOLD).translate(_FOLD)
+    return s.lower().replace("d", "cl").replace("m", "rn").replace("u", "ii").replace("w", "vv").translate(_FOLD)
 
 
 # Which texts are page scans, and their lines
@@ -67,6 +67,7 @@ _START = re.compile(r"\s*([^\W_]+)")
 _NUMBER = r"(?=[a-z]*\d|[oliszg]{0,3}$|[oliszg]{0,3}\W)[\doliszg]{1,5}"
 _PAGE = re.compile(rf"[\[\-–—( ]*(?:pag[ec]|p\.?)?\s*(?:{_NUMBER}|[ivxlc1]{{1,8}})(?:\s*(?:[o0][ft]|/)\s*{_NUMBER})?[\])\-–— ]*", re.I)
 _EDGE_NUMBER = re.compile(r"^\s*[\dOlISo]*\d[\dOlISo]*\s{2,}|\s{2,}[\dOlISo]*\d[\dOlISo]*\s*$|^\s*\d{1,4}\s+(?=[A-Z])|(?:,\s*[vV][o0]?[l1i]\.?\s*[\dOlIS]+)?,?\s*p{1,2}\.\s*[\dOlIS]+\s*$|\s*/\s*con?t\S*\s*$|\s*\|\s*[\dOlIS]+\s*$")
+_MAY_BE_NUMBERED = re.compile(r"[\d/|]|p\.")
 _SENTENCE_END = re.compile(r"[.!?:][)\]\"”]*\s*$")
 
 
@@ -96,15 +97,15 @@ _RUNS_ON = r"\n[ \t\f]*\p{Ll}"
 
 def _core(line: str) -> str:
     """A line without the page numbers and marks that a running header may carry."""
-    return _EDGE_NUMBER.sub("", line.strip("\f \r\t")).strip()
+    s = line.strip("\f \r\t")
+    return (_EDGE_NUMBER.sub("", s) if _MAY_BE_NUMBERED.search(s) else s).strip()
 
 
 def _prefix_share(a: str, b: str) -> float:
     """How well ``a`` is the beginning of ``b``, both folded: 1 if it is, less by the share of differing characters."""
     if not a or not b:
         return 0.0
-    same = sum(x == y for x, y in zip(a, b, strict=False))
-    return same / len(a)
+    return sum(map(eq, a, b)) / len(a)
 
 
 LINE_FEATURES = 18
@@ -129,7 +130,6 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
         after = lines[nxt] if nxt is not None else ""
         open_before = prev is not None and not _SENTENCE_END.search(before) and not page[prev]
         low_after = after.lstrip("\f ")[:1].islower()
-        letters = [c for c in s if c.isalpha()]
         out[i] = (
             page[i],
             _prefix_share(folded[i], heads[0]) if len(core) > 5 else 0.0,
@@ -140,14 +140,14 @@ def line_features(lines: list[str], title: str | None, venue: str | None) -> np.
             ("\f" in lines[i]) + 2 * ("\f" in after),
             prev is None,
             nxt is None,
-            sum(c.isupper() for c in letters) / max(1, len(letters)),
+            sum(map(str.isupper, s)) / max(1, sum(map(str.isalpha, s))),
             s[:1].islower(),
             open_before and low_after,
             len(s) / max(1.0, width),
             core != s,
             bool(_SENTENCE_END.search(s)),
             s.count("  "),
-            sum(c.isdigit() for c in s) / len(s),
+            sum(map(str.isdigit, s)) / len(s),
             core.count(" ") + 1,
         )
     return out
@@ -396,9 +396,12 @@ def candidates(suspects: DataFrame, words: DataFrame, most: int = GRAM_ROWS) ->
     d = dictionary(words).select(F.col("term").alias("cand"), F.col("occ").alias("cocc"), F.col("df").alias("cdf"), _fold_column(F.col("term")).alias("cfold"))
     d = _grams(d.withColumnRenamed("cfold", "folded"), (-1, 0, 1)).withColumnRenamed("folded", "cfold")
     hot = materialize(d.groupBy("gram", "len").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts")).where("parts > 1"))
-    part = F.pmod(F.xxhash64("cand"), F.coalesce("parts", F.lit(1))).cast("int")
-    d = d.join(hot, ["gram", "len"], "left").withColumn("part", part).drop("parts")
-    s = s.join(hot, ["gram", "len"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    if hot.isEmpty():
+        d, s = d.withColumn("part", F.lit(0)), s.withColumn("part", F.lit(0))
+    else:
+        part = F.pmod(F.xxhash64("cand"), F.coalesce("parts", F.lit(1))).cast("int")
+        d = d.join(hot, ["gram", "len"], "left").withColumn("part", part).drop("parts")
+        s = s.join(hot, ["gram", "len"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     close = (F.levenshtein("folded", "cfold", 1) >= 0) | (_shape_column(F.col("folded")) == _shape_column(F.col("cfold")))
     return (
         s.join(d, ["gram", "len", "part"])
@@ -585,7 +588,7 @@ def line_kinds(texts: list[tuple[list[str], str | None, str | None]], head: Pair
 def _terms_of(lines: list[str], kinds: list[int]) -> set[str]:
     """Everything that the repair of a text asks the corpus about."""
     body = _body(lines, kinds)
-    out = {w for x, b in zip(lines, body, strict=True) if b for w in WORD.findall(x.lower())}
+    out = set(WORD.findall("\n".join(x for x, b in zip(lines, body, strict=True) if b).lower()))
     for _, a, b, _ in line_pairs(lines, body):
         out |= {a + b, f"{a}-{b}"}
     return out
@@ -603,8 +606,8 @@ def broken_lines(texts: list[tuple[list[str], list[int], object]], joins: Booste
     return [({p[0] for p in ps}, {p[0] for p in ps if next(score) > 0.5}) for ps in pairs]
 
 
-def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int], broken: set[int]) -> tuple[str, list[tuple[int, str]]]:
-    """Continuous text and the cases found. ``correction(word)``: the true word, or None; ``ends_hyphen, broken``: see broken_lines."""
+def repair(lines: list[str], kinds: list[int], fixes: tuple[dict[str, str], ...], ends_hyphen: set[int], broken: set[int]) -> tuple[str, list[tuple[int, str]]]:
+    """Continuous text and the cases found. ``fixes``: the true words of misread ones, lower case; ``ends_hyphen, broken``: see broken_lines."""
     found: list[tuple[int, str]] = [(i, HEADER if k == 1 else PAGE) for i, k in enumerate(kinds) if k] + [(i, BROKEN) for i in broken]
     blank = [not x.strip("\f \r\t") for x in lines]
     body = _body(lines, kinds)
@@ -617,14 +620,15 @@ def repair(lines: list[str], kinds: list[int], correction, ends_hyphen: set[int]
                 glue = "\n\n" if _SENTENCE_END.search(out[-1]) else " "
             continue
         s = x.strip("\f \r")
-        spots = list(WORD.finditer(s))
+        low = WORD.findall(s.lower())
+        spots = [] if all(f.keys().isdisjoint(low) for f in fixes) else list(WORD.finditer(s))
         last = len(spots) - 1
         fixed, at, hit = [], 0, False
         for k, m in enumerate(spots):
             w = m.group()
             if (k == 0 and skip_first) or (k == last and i in broken):
                 continue
-            c = correction(w.lower())
+            c = next((f[w.lower()] for f in fixes if w.lower() in f), None)
             if c is not None:
                 hit = True
                 c = c.upper() if w.isupper() and len(w) > 1 else c[:1].upper() + c[1:] if w[:1].isupper() else c
@@ -712,12 +716,13 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words), ranker))
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = known.value.keys()
         for b in batches:
             rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             texts = [(i, (t.split("\n"), ti, ve)) for i, (t, ti, ve) in enumerate(rows) if is_scan(t)]
             take = [i for i, _ in texts]
             kinds = line_kinds([x for _, x in texts], fitted.value.head, fitted.value.page)
-            asks = [sorted(w for w in _terms_of(x[0], k) if w not in known.value) for (_, x), k in zip(texts, kinds, strict=True)]
+            asks = [sorted(_terms_of(x[0], k) - common) for (_, x), k in zip(texts, kinds, strict=True)]
             idx = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(kinds, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.string()))], ["doc_id", "text", "kinds", "asks"])
 
@@ -735,15 +740,18 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     )
 
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = {t: o for t, (o, _) in known.value.items()}
+        common_fixes = {t: c for t, (_, c) in known.value.items() if c is not None}
         for b in batches:
-            tables = [{a["term"]: (a["occ"], a["cand"]) for a in answers or ()} for answers in b.column(3).to_pylist()]
+            answers = [x or () for x in b.column(3).to_pylist()]
+            rare = [{a["term"]: a["occ"] for a in x if a["occ"]} for x in answers]
+            fixes = [({a["term"]: a["cand"] for a in x if a["cand"] is not None}, common_fixes) for x in answers]
             lines = [t.split("\n") for t in b.column(1).to_pylist()]
             kinds = b.column(2).to_pylist()
-            asked = [lambda w, t=t: known.value.get(w) or t.get(w) or (0, None) for t in tables]
-            occs = [lambda w, a=a: a(w)[0] or 0 for a in asked]
+            occs = [lambda w, t=t: common.get(w) or t.get(w, 0) for t in rare]
             ends = broken_lines(list(zip(lines, kinds, occs, strict=True)), fitted.value.joins)
             keep = [i for i, (x, k, (_, broken)) in enumerate(zip(lines, kinds, ends, strict=True)) if len(_held(x)) >= SHORT or any(k) or broken]
-            done = [repair(lines[i], kinds[i], lambda w, a=asked[i]: a(w)[1], *ends[i]) for i in keep]
+            done = [repair(lines[i], kinds[i], fixes[i], *ends[i]) for i in keep]
             cases = [[{"line_no": i, "kind": k} for i, k in found] for _, found in done]
             kind = pa.list_(pa.struct([("line_no", pa.int32()), ("kind", pa.string())]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([x for x, _ in done], pa.string()), pa.array(cases, kind)], ["doc_id", "text", "found"])
