@@ -214,34 +214,29 @@ class Scores:
         self.total = self.terms.count()
         self.models = materialize(term_models(self.terms)).withColumnRenamed("term", "token")
         self.least = head_bound(self.models, self.total, head_share, head_rows)
-        self._stored: DataFrame | None = None
+        self._scored: DataFrame | None = None
 
     def all(self) -> DataFrame:
-        """doc_id, token, tf, df, elite: one row for each term of each document."""
-        rows = self.terms.select("doc_id", F.inline("terms"))
-        head = F.broadcast(self.models.where(F.col("df") >= self.least))  # at most head_rows
-        tail = self.models.where(F.col("df") < self.least)
-        few = rows.join(head.select("token"), "token", "left_anti").join(tail, "token")
-        score = elite(F.col("alpha"), F.col("beta"), F.col("tf")).alias("elite")
-        return rows.join(head, "token").unionByName(few).select("doc_id", "token", "tf", "df", score)
-
-    def stored(self) -> DataFrame:
-        """:meth:`all` as a stored table, for several uses."""
-        if self._stored is None:
-            self._stored = materialize(self.all())
-        return self._stored
+        """doc_id, token, tf, df, elite: one row for each term of each document. Those of frequent terms are stored as they are scored, the others are joined with their models from there."""
+        if self._scored is None:
+            head = F.broadcast(self.models.where(F.col("df") >= self.least))  # at most head_rows
+            rows = self.terms.select("doc_id", F.inline("terms")).join(head, "token", "left")
+            self._scored = materialize(rows.select("doc_id", "token", "tf", "df", elite(F.col("alpha"), F.col("beta"), F.col("tf")).alias("elite")))
+        rest = self._scored.where("df IS NULL").select("doc_id", "token", "tf").join(self.models.where(F.col("df") < self.least), "token")
+        rest = rest.select("doc_id", "token", "tf", "df", elite(F.col("alpha"), F.col("beta"), F.col("tf")).alias("elite"))
+        return self._scored.where("df IS NOT NULL").unionByName(rest)
 
     def most_weighted(self, least_df: int = 2) -> DataFrame:
         """doc_id, token, elite: of each document's scored terms in ``least_df`` documents or more the one with the greatest tf * ln(N / df), rounded to 6 decimals; of equals the smallest."""
         # In whole millionths: rounding doubles to decimals goes through big decimals.
         weight = -F.floor(F.col("tf") * F.log(F.lit(float(self.total)) / F.col("df")) * 1e6 + 0.5)
         best = F.min(F.struct(weight.alias("w"), "token", "elite"))
-        return self.stored().where(F.col("df") >= least_df).groupBy("doc_id").agg(best.alias("x")).select("doc_id", "x.token", "x.elite")
+        return self.all().where(F.col("df") >= least_df).groupBy("doc_id").agg(best.alias("x")).select("doc_id", "x.token", "x.elite")
 
     def agreement(self, least_df: int = 2) -> DataFrame:
         """documents, same, mean_elite, least_elite: how many documents have a heaviest term, for how many of them no term's
         posterior is greater than that term's, and the posteriors of the heaviest terms."""
-        top = self.stored().where(F.col("df") >= least_df).groupBy("doc_id").agg(F.max("elite").alias("most"))
+        top = self.all().where(F.col("df") >= least_df).groupBy("doc_id").agg(F.max("elite").alias("most"))
         both = self.most_weighted(least_df).join(top, "doc_id")
         return both.agg(F.count("*").alias("documents"), F.count_if(F.col("elite") >= F.col("most")).alias("same"), F.avg("elite").alias("mean_elite"), F.min("elite").alias("least_elite"))
 
