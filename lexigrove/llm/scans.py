@@ -716,13 +716,13 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words), ranker))
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = known.value.keys()
+        common = known.value
         for b in batches:
             rows = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             texts = [(i, (t.split("\n"), ti, ve)) for i, (t, ti, ve) in enumerate(rows) if is_scan(t)]
             take = [i for i, _ in texts]
             kinds = line_kinds([x for _, x in texts], fitted.value.head, fitted.value.page)
-            asks = [sorted(_terms_of(x[0], k) - common) for (_, x), k in zip(texts, kinds, strict=True)]
+            asks = [sorted(w for w in _terms_of(x[0], k) if w not in common) for (_, x), k in zip(texts, kinds, strict=True)]
             idx = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(idx), b.column(1).take(idx), pa.array(kinds, pa.list_(pa.int32())), pa.array(asks, pa.list_(pa.string()))], ["doc_id", "text", "kinds", "asks"])
 
