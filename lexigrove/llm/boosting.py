@@ -20,7 +20,7 @@ class Boosted:
         if not n or y.min() == y.max():
             return self
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(d)]
-        code = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], 1)
+        code = [np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)]
         f = np.full(n, self.base)
         for _ in range(self.n):
             q = 1 / (1 + np.exp(-f))
@@ -35,7 +35,7 @@ class Boosted:
                     m = len(cuts[j]) + 1
                     if m == 1:
                         continue
-                    at = node * m + code[:, j]  # all nodes of the level at once
+                    at = node * m + code[j]  # all nodes of the level at once
                     gl, hl = (np.cumsum(np.bincount(at, w, k * m).reshape(k, m), 1)[:, :-1] for w in (g, h))
                     gain = gl**2 / (hl + self.ridge) + (G[:, None] - gl) ** 2 / (H[:, None] - hl + self.ridge) - (G**2 / (H + self.ridge))[:, None]
                     c = gain.argmax(1)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lexigrove.functions.text import WORD
 from lexigrove.llm.boosting import Boosted
 from lexigrove.llm.frequency import FLUSH
-from lexigrove.llm.sampling import hashed_sample
+from lexigrove.llm.sampling import under
 from lexigrove.session import materialize
 
 # Characters and what scanners take them for.
@@ -38,7 +38,7 @@ CONFUSIONS = (
 HYPHENS = "-‐¬\xad"
 
 #: Bounds of the training samples.
-SAMPLE_DOCS = 400
+SAMPLE_DOCS = 700
 SAMPLE_WORDS = 4_000
 #: A word in this share of the documents or more is known without a look-up: at most HEAD_ROWS words are; where more are so common, only commoner ones.
 HEAD_SHARE = 0.001
@@ -458,12 +458,26 @@ def pair_features(rows: list[dict]) -> np.ndarray:
     return out
 
 
-def _reading_samples(words: DataFrame, known: list[dict], seed: int) -> list[tuple[dict, int]]:
+def word_samples(words: DataFrame, seed: int = 7, most: int = SAMPLE_WORDS) -> dict[str, list[dict]]:
+    """At most ``most`` words (term, occ, df) of each kind that the models learn from, drawn by a threshold of a hash that is set from their number; two passes over ``words`` for all kinds."""
+    t, clean = F.col("term"), F.col("scan_occ") < F.col("occ") * SCAN_SHARE
+    letters = t.rlike(r"^\p{L}{2,}$")
+    kinds = {
+        "known": clean & letters & (F.col("occ") >= 2), "right": clean & letters, "numbers": clean & t.rlike(r"^\d{2,}$"), "mixed": clean & (t.rlike(INNER_DIGIT) | t.rlike(INNER_LETTER)),
+        "single": t.rlike(r"^\p{L}{6,}$") & (F.col("occ") > F.col("scan_occ")), "compound": t.rlike(r"^\p{L}{2,}-\p{L}{2,}$") & (F.col("df") >= 2),
+    }
+    n = words.agg(*[F.count_if(c).alias(k) for k, c in kinds.items()]).head()
+    drawn = {k: c & under(["term"], most, n[k], seed + i) for i, (k, c) in enumerate(kinds.items())}
+    rows = words.select("term", "occ", "df", *[c.alias(k) for k, c in drawn.items()]).where(" OR ".join(kinds)).toArrow().to_pylist()
+    rows.sort(key=lambda r: r["term"])
+    return {k: [{c: r[c] for c in ("term", "occ", "df")} for r in rows if r[k]][:most] for k in kinds}
+
+
+def _reading_samples(words: DataFrame, samples: dict[str, list[dict]], seed: int) -> list[tuple[dict, int]]:
     """Candidates of :func:`other_readings` to learn from: words and numbers with one character taken for another, and clean words that look like that but are right."""
     rng = random.Random(seed)
     out = []
-    numbers = hashed_sample(words.where(F.col("term").rlike(r"^\d{2,}$") & (F.col("scan_occ") < F.col("occ") * SCAN_SHARE)), ["term"], SAMPLE_WORDS, seed).select("term", "occ", "df").toArrow().to_pylist()
-    for r in sorted(known, key=lambda r: r["term"]) + sorted(numbers, key=lambda r: r["term"]):
+    for r in samples["known"] + samples["numbers"]:
         w = r["term"]
         to, at = ({"o": "0", "l": "1", "s": "5", "g": "9"}, range(2, len(w) - 1)) if not w.isdigit() else ({"0": "o", "1": "l"}, range(len(w)))
         sites = [i for i in at if w[i] in to]
@@ -476,12 +490,13 @@ def _reading_samples(words: DataFrame, known: list[dict], seed: int) -> list[tup
             rate = 10 ** -rng.uniform(0.4, 4.5)
             occ, df = max(1, int(r["occ"] * rate)), max(1, int(r["df"] * rate))
             out.append(({"token": t, "occ": occ, "df": df, "cand": w, "cocc": r["occ"] * met, "cdf": r["df"] * met}, 1))
-    right = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & (F.col("term").rlike(INNER_DIGIT) | F.col("term").rlike(INNER_LETTER)))
-    right = hashed_sample(right, ["term"], SAMPLE_WORDS, seed).select(F.col("term").alias("token"), "occ", "df")
+    if not samples["mixed"]:
+        return out
+    right = words.sparkSession.createDataFrame([(r["term"], r["occ"], r["df"]) for r in samples["mixed"]], "token string, occ long, df long")
     return out + [(r, 0) for r in sorted(other_readings(right, words).toArrow().to_pylist(), key=lambda r: r["token"])]
 
 
-def rank_corrections(words: DataFrame, seed: int = 7, ranker: Boosted | None = None) -> tuple[DataFrame, Boosted]:
+def rank_corrections(words: DataFrame, seed: int = 7, ranker: Boosted | None = None, samples: dict[str, list[dict]] | None = None) -> tuple[DataFrame, Boosted]:
     """token, cand, score: the best candidate of each suspicious word, with its probability of being the true one; and the ranker, fitted here unless it is given.
 
     ``words`` is stored. Candidates of the training sample come from the same join as those of the suspicious words.
@@ -491,9 +506,8 @@ def rank_corrections(words: DataFrame, seed: int = 7, ranker: Boosted | None = N
     every, true, more = sus, {}, []
     if ranker is None:
         # To learn from: misread forms of words, and words of clean texts, which need no correction.
-        clean = words.where((F.col("scan_occ") < F.col("occ") * SCAN_SHARE) & F.col("term").rlike(r"^\p{L}{2,}$"))
-        rows = hashed_sample(clean.where("occ >= 2"), ["term"], SAMPLE_WORDS, seed).select("term", "occ", "df").toArrow().to_pylist()
-        known = sorted(rows, key=lambda r: r["term"])
+        samples = samples or word_samples(words, seed)
+        known = samples["known"]
         rng = random.Random(seed)
         for r in known:
             for _ in range(2):
@@ -507,9 +521,9 @@ def rank_corrections(words: DataFrame, seed: int = 7, ranker: Boosted | None = N
             true.pop(r["term"], None)
         fake = spark.createDataFrame([(t, o, d, "f") for t, (_, o, d) in true.items()], "token string, occ long, df long, part string")
         fake = fake.join(words.select(F.col("term").alias("token")), "token", "left_anti")
-        right = hashed_sample(clean, ["term"], SAMPLE_WORDS, seed + 1).select(F.col("term").alias("token"), "occ", "df", F.lit("c").alias("part"))
+        right = spark.createDataFrame([(r["term"], r["occ"], r["df"], "c") for r in samples["right"]], fake.schema)
         every = sus.unionByName(fake).unionByName(right)
-        more = _reading_samples(words, known, seed)
+        more = _reading_samples(words, samples, seed)
     both = candidates(every.drop("part"), words).join(every.select("token", "part"), "token")
     readings = other_readings(sus.drop("part"), words).withColumn("part", F.lit("t"))
     pairs = materialize(both.unionByName(readings).distinct())
@@ -540,11 +554,9 @@ def join_features(a: str, b: str, hyphen: str, occ) -> list[float]:
     return [log1p(j), log1p(c), log1p(x), log1p(y), log1p(j) - log1p(c), hyphen == "-", len(a), len(b)]
 
 
-def fit_joins(words: DataFrame, seed: int = 7) -> Boosted:
+def fit_joins(words: DataFrame, samples: dict[str, list[dict]], seed: int = 7) -> Boosted:
     """Classifier of line pairs: words divided at random against compounds parted at their hyphen."""
-    terms = lambda df: sorted(hashed_sample(df, ["term"], SAMPLE_WORDS, seed).select("term").toArrow().column(0).to_pylist())
-    single = terms(words.where(F.col("term").rlike(r"^\p{L}{6,}$") & (F.col("occ") > F.col("scan_occ"))))
-    compound = terms(words.where(F.col("term").rlike(r"^\p{L}{2,}-\p{L}{2,}$") & (F.col("df") >= 2)))
+    single, compound = ([r["term"] for r in samples[k]] for k in ("single", "compound"))
     rng = random.Random(seed)
     cases = []
     for w in single:
@@ -611,6 +623,8 @@ def repair(lines: list[str], kinds: list[int], fixes: tuple[dict[str, str], ...]
     found: list[tuple[int, str]] = [(i, HEADER if k == 1 else PAGE) for i, k in enumerate(kinds) if k] + [(i, BROKEN) for i in broken]
     blank = [not x.strip("\f \r\t") for x in lines]
     body = _body(lines, kinds)
+    low = "\n".join(x for x, b in zip(lines, body, strict=True) if b).lower()
+    wrong = {w for w in WORD.findall(low) if any(w in f for f in fixes)}
     out: list[str] = []
     glue = ""  # what stands between the text so far and the next body line
     skip_first = False
@@ -620,8 +634,8 @@ def repair(lines: list[str], kinds: list[int], fixes: tuple[dict[str, str], ...]
                 glue = "\n\n" if _SENTENCE_END.search(out[-1]) else " "
             continue
         s = x.strip("\f \r")
-        low = WORD.findall(s.lower())
-        spots = [] if all(f.keys().isdisjoint(low) for f in fixes) else list(WORD.finditer(s))
+        low = s.lower() if wrong else ""
+        spots = list(WORD.finditer(s)) if any(w in low for w in wrong) else []
         last = len(spots) - 1
         fixed, at, hit = [], 0, False
         for k, m in enumerate(spots):
@@ -667,10 +681,9 @@ def _source(docs: DataFrame, doc_id: str, text: str, title: str | None, venue: s
 
 def _clean_sample(src: DataFrame, n: int) -> list[tuple[str, str, str]]:
     """At most SAMPLE_DOCS clean (text, title, venue), the first by a hash of their ids; of a large corpus only documents under a threshold of it are looked at."""
-    pick = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    some = src.where(pick < int((1 << 30) * min(1.0, 8 * SAMPLE_DOCS / max(1, n))))
+    some = src.where(under(["doc_id"], 8 * SAMPLE_DOCS, n))
     clean = some.where(~F.col("text").rlike(_RUNS_ON) & (F.length("text") > 600) & F.col("title").isNotNull() & F.col("venue").isNotNull())
-    return [(r["text"], r["title"], r["venue"]) for r in clean.orderBy(pick, "doc_id").select("text", "title", "venue").limit(SAMPLE_DOCS).toArrow().to_pylist()]
+    return [(r["text"], r["title"], r["venue"]) for r in clean.orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "title", "venue").limit(SAMPLE_DOCS).toArrow().to_pylist()]
 
 
 def fit_models(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = "title", venue: str | None = "venue") -> Models:
@@ -680,7 +693,8 @@ def fit_models(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", titl
     if not clean:
         raise ValueError("no clean text to learn from")
     words = materialize(corpus_words(src))
-    return Models(*fit_lines(clean), fit_joins(words), rank_corrections(words)[1])
+    samples = word_samples(words)
+    return Models(*fit_lines(clean), fit_joins(words, samples), rank_corrections(words, samples=samples)[1])
 
 
 def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", title: str | None = "title", venue: str | None = "venue", models: Models | None = None) -> DataFrame:
@@ -708,12 +722,13 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     least = max(50.0, n * HEAD_SHARE)
     while words.where(F.col("df") >= least).count() > HEAD_ROWS:
         least *= 2
-    fixes, ranker = rank_corrections(words, ranker=models.ranker if models else None)
+    samples = None if models else word_samples(words)
+    fixes, ranker = rank_corrections(words, ranker=models.ranker if models else None, samples=samples)
     fixes = fixes.where("score > 0.5").withColumnRenamed("token", "term").drop("score")
     # Common words, however many of them stand in scans, are looked up in a table of bounded size.
     head = words.where(F.col("df") >= least).select("term", "occ").join(fixes, "term", "left").toArrow().to_pydict()
     known = sc.broadcast({t: (o, c) for t, o, c in zip(head["term"], head["occ"], head["cand"], strict=True)})
-    fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words), ranker))
+    fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words, samples), ranker))
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = known.value
