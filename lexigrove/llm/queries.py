@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": lambda s, d: scans.cases(_repaired(s, d)),
         "p5_repaired": lambda s, d: _repaired(s, d).select("doc_id", "text"),
         "p6_found": lambda s, d: distinctive.Scores(docs(s, d)).most_weighted().select("doc_id", "token"),
+        "p6_terms": lambda s, d: distinctive.distinctive_terms(docs(s, d)).select("doc_id", "token", "tf", "df", F.col("elite").between(0, 1).alias("scored")),
         "p6_agreement": lambda s, d: distinctive.Scores(docs(s, d)).agreement(),
         "p6_scores": lambda s, d: distinctive.distinctive_terms(docs(s, d)),
         "p8_packing": lambda s, d: packing.pack_documents(docs(s, d), table(s, d, "containers")),
@@ -65,6 +66,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"""WITH {_OCC}, d AS (SELECT token, count(*) AS df FROM occ GROUP BY token)
             SELECT doc_id, token FROM occ JOIN d USING (token) WHERE df >= 2
             QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln((SELECT count(*) FROM documents) / df), 6) DESC, token) = 1""",
+        "p6_terms": f"WITH {_OCC}, d AS (SELECT token, count(*) AS df FROM occ GROUP BY token) SELECT doc_id, token, CAST(tf AS INTEGER) AS tf, df, true AS scored FROM occ JOIN d USING (token)",
         "p8_check": "SELECT container_kind, (SELECT count(*) FROM documents) AS texts, CAST(0 AS BIGINT) AS over_capacity, CAST(0 AS BIGINT) AS divided_in_vain, CAST(0 AS BIGINT) AS gaps FROM containers WHERE capacity_tokens > 0",
         "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_SHARED})",
         "p9_runs": f"""SELECT doc_id, item_id, CAST(min(i) - 1 AS INTEGER) AS first_word, CAST(max(i) + 10 AS INTEGER) AS last_word
