@@ -14,6 +14,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from math import log, log1p
 from operator import eq
@@ -718,6 +719,8 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
         if not src.where(F.col("text").rlike(_RUNS_ON)).select("text").mapInArrow(gate, "text string").isEmpty():
             raise ValueError("no clean text to learn from: models must be given")
         return docs.sparkSession.createDataFrame([], _RESULT.format(id=id_type))
+    pool = ThreadPoolExecutor(1)
+    lines = None if models else pool.submit(fit_lines, clean)  # in the driver, while the executors count
     words = materialize(corpus_words(src))
     least = max(50.0, n * HEAD_SHARE)
     while words.where(F.col("df") >= least).count() > HEAD_ROWS:
@@ -728,7 +731,8 @@ def repair_scans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ti
     # Common words, however many of them stand in scans, are looked up in a table of bounded size.
     head = words.where(F.col("df") >= least).select("term", "occ").join(fixes, "term", "left").toArrow().to_pydict()
     known = sc.broadcast({t: (o, c) for t, o, c in zip(head["term"], head["occ"], head["cand"], strict=True)})
-    fitted = sc.broadcast(models or Models(*fit_lines(clean), fit_joins(words, samples), ranker))
+    fitted = sc.broadcast(models or Models(*lines.result(), fit_joins(words, samples), ranker))
+    pool.shutdown()
 
     def scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = known.value
