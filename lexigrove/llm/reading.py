@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,22 +19,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.functions.text import nfkc
-from lexigrove.llm.frequency import head_terms, term_counts, words
-from lexigrove.llm.sampling import hashed_sample
+from lexigrove.llm.frequency import FLUSH, head_terms, words
 from lexigrove.session import materialize
 
 BANDS = 5
 LEAST_WORDS = 40
-#: Most graded texts that the model is fitted to; more are sampled by a hash of their id.
-SAMPLE = 20_000
 #: Words in fewer than this share of documents count as unknown. Rarities of the commoner ones are broadcast, at most HEAD_ROWS; those of all others are joined.
 KNOWN_SHARE = 0.001
 HEAD_ROWS = 200_000
-#: Texts that the trigram model is counted over, the share of English function words that makes a text one of them, and how far
+#: The share of English function words that makes a text one of those that the trigram model is counted over, and how far
 #: below their mean log probability of a letter a text is no longer English.
-ENGLISH_SAMPLE = 20_000
 ENGLISH_SHARE = 0.15
 ENGLISH_MARGIN = 0.75
+#: Trigrams that a task may hold before it counts them.
+HELD = 1 << 20
 RIDGE = 3.0
 #: Words over which variety is taken, and standard deviations beyond which a feature counts no further.
 WINDOW = 40
@@ -128,25 +126,59 @@ class English:
         return "en" if self.log.take(trigrams(k)).mean() >= self.least else "unknown"
 
 
-def english_model(docs: DataFrame, text: str, n: int) -> English:
-    """Trigram model of the texts whose commonest words are plainly English, of a sample of ENGLISH_SAMPLE. Each task sends its counts, at most one a trigram."""
+def corpus_counts(docs: DataFrame, text: str) -> DataFrame:
+    """term, trigram, n: documents of each word of all texts (trigram null), and occurrences of each letter trigram in all texts
+    whose commonest words are plainly English (term null).
+
+    Each text is tokenized once for both. A task sends its trigram counts once, at most one a trigram.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter[str] = Counter()
         total = np.zeros(LETTERS**3, np.int64)
+        grams: list[np.ndarray] = []
+        held = 0
+
+        def count() -> None:
+            nonlocal held
+            if grams:
+                np.add(total, np.bincount(np.concatenate(grams), minlength=len(total)), out=total)
+            grams.clear()
+            held = 0
+
+        def terms() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.nulls(len(df), pa.int32()), pa.array(df.values(), pa.int64())], ["term", "trigram", "n"])
+            df.clear()
+            return b
+
         for b in batches:
             for t in b.column(0).to_pylist():
                 if t:
-                    lang, share = commonest(Counter(words(t)))
+                    c = Counter(words(t))
+                    df.update(c.keys())
+                    lang, share = commonest(c)
                     if lang == "en" and share >= ENGLISH_SHARE:
-                        total += np.bincount(trigrams(letter_codes(t)), minlength=len(total))
+                        grams.append(trigrams(letter_codes(t)))
+                        held += len(grams[-1])
+                        if held > HELD:
+                            count()
+            if len(df) > FLUSH:
+                yield terms()
+        yield terms()
+        count()
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["term", "trigram", "n"])
 
-    texts = hashed_sample(docs.select(F.col(f"`{text}`").cast("string").alias("t")), ["t"], ENGLISH_SAMPLE, count=n)
-    rows = texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(LETTERS**3)
-    counts[np.asarray(rows.column("k"))] = np.asarray(rows.column("n"))
-    return English.fit(counts)
+    parts = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(run, "term string, trigram int, n long")
+    return parts.groupBy("term", "trigram").agg(F.sum("n").alias("n"))
+
+
+def english_model(counts: DataFrame) -> English:
+    """Trigram model of the plainly English texts of :func:`corpus_counts`."""
+    rows = counts.where("trigram IS NOT NULL").select("trigram", "n").toArrow()
+    of = np.zeros(LETTERS**3)
+    of[np.asarray(rows.column("trigram"))] = np.asarray(rows.column("n"))
+    return English.fit(of)
 
 
 def features(text: str, rarity: dict[str, float]) -> tuple[list[float], Counter[str], dict[str, int]]:
@@ -187,13 +219,14 @@ def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     words are looked up in a broadcast table of bounded size, the others are joined, and none of them is a hot key.
     """
     n = max(1, docs.count())
-    counts = materialize(term_counts(docs, text, drop=frozenset()))
+    every = materialize(corpus_counts(docs, text))
+    counts = every.where("term IS NOT NULL").select("term", F.col("n").alias("documents"))
     share = KNOWN_SHARE
     while head_terms(counts, n, share).count() > head_rows:
         share *= 2
     known = head_terms(counts, n, share).toArrow()  # at most head_rows
     table = {t: -float(np.log(d / n)) for t, d in zip(known.column("term").to_pylist(), known.column("documents").to_pylist(), strict=True)}
-    shared = docs.sparkSession.sparkContext.broadcast((table, english_model(docs, text, n)))
+    shared = docs.sparkSession.sparkContext.broadcast((table, english_model(every)))
     src = docs.select(
         F.col(f"`{doc_id}`").alias("doc_id"), (F.lit(None) if lang is None else F.col(f"`{lang}`")).cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")
     )
@@ -229,6 +262,11 @@ def consensus(labels: DataFrame) -> DataFrame:
     return good.groupBy("doc_id", "rater").agg(F.avg("band").alias("b")).groupBy("doc_id").agg(F.avg("b").alias("band"), F.count("*").alias("raters"))
 
 
+def above(y: np.ndarray) -> np.ndarray:
+    """How far each of the bands ``y`` is above band k, for every k but the last: 3.5 is half above 3."""
+    return np.stack([np.clip(y - k, 0, 1) for k in range(1, BANDS)], 1)
+
+
 @dataclass
 class OrdinalModel:
     """Proportional odds: P(band > k) = logistic(w . z - cut[k]) with z the standardised features."""
@@ -240,27 +278,42 @@ class OrdinalModel:
 
     @staticmethod
     def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 60) -> "OrdinalModel":
-        """``y``: bands, fractions between bands where raters disagree. Newton steps on the ridge-penalised likelihood of "above k" for every k."""
-        mean, scale = x.mean(0), x.std(0) + 1e-9
-        z = np.clip((x - mean) / scale, -CLIP, CLIP)
-        n, d = z.shape
-        above = np.stack([np.clip(y - k, 0, 1) for k in range(1, BANDS)], 1)  # 3.5 is half above 3
-        w, cuts = np.zeros(d), np.array([-np.log((m + 0.5 / n) / (1 - m + 0.5 / n)) for m in above.mean(0).clip(1e-6, 1 - 1e-6)])
+        """``y``: bands, fractions between bands where raters disagree."""
+        return OrdinalModel.solve(len(y), x.mean(0), x.std(0), above(y).mean(0), lambda m: m.derivatives(x, y), ridge, steps)
+
+    @staticmethod
+    def solve(n: int, mean: np.ndarray, deviation: np.ndarray, shares: np.ndarray, derivatives: Callable[["OrdinalModel"], np.ndarray], ridge: float = RIDGE, steps: int = 60) -> "OrdinalModel":
+        """Newton steps on the ridge-penalised likelihood of "above k" for every k, of which ``shares`` are the means.
+
+        ``derivatives`` gives the sums of :meth:`derivatives` over all ``n`` rows.
+        """
+        d = len(mean)
+        m = OrdinalModel(mean, deviation + 1e-9, np.zeros(d), np.array([-np.log((s + 0.5 / n) / (1 - s + 0.5 / n)) for s in shares.clip(1e-6, 1 - 1e-6)]))
+        penalty = np.diag([ridge] * d + [1e-6] * (BANDS - 1))
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip((z @ w)[:, None] - cuts, -30, 30)))
-            g, v = p - above, np.maximum(p * (1 - p), 1e-9)
-            grad = np.concatenate([z.T @ g.sum(1) + ridge * w, -g.sum(0)])
-            h = np.zeros((d + BANDS - 1, d + BANDS - 1))
-            h[:d, :d] = (z * v.sum(1)[:, None]).T @ z + ridge * np.eye(d)
-            h[:d, d:] = -z.T @ v
-            h[d:, :d] = h[:d, d:].T
-            h[d:, d:] = np.diag(v.sum(0) + 1e-6)
-            step = np.linalg.solve(h, grad)
+            sums = derivatives(m)
+            sums[0, :d] += ridge * m.weights
+            step = np.linalg.solve(sums[1:] + penalty, sums[0])
             step *= min(1.0, 2.0 / np.abs(step).max())
-            w, cuts = w - step[:d], cuts - step[d:]
+            m = OrdinalModel(m.mean, m.scale, m.weights - step[:d], m.cuts - step[d:])
             if np.abs(step).max() < 1e-7:
                 break
-        return OrdinalModel(mean, scale, w, np.sort(cuts))
+        return OrdinalModel(m.mean, m.scale, m.weights, np.sort(m.cuts))
+
+    def derivatives(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of the negative log likelihood of rows, without the penalty: the first by weights and cuts, and below them the second."""
+        z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
+        d = z.shape[1]
+        p = 1 / (1 + np.exp(-np.clip((z @ self.weights)[:, None] - self.cuts, -30, 30)))
+        g, v = p - above(y), np.maximum(p * (1 - p), 1e-9)
+        out = np.zeros((d + BANDS, d + BANDS - 1))
+        out[0] = np.concatenate([z.T @ g.sum(1), -g.sum(0)])
+        h = out[1:]
+        h[:d, :d] = (z * v.sum(1)[:, None]).T @ z
+        h[:d, d:] = -z.T @ v
+        h[d:, :d] = h[:d, d:].T
+        h[d:, d:] = np.diag(v.sum(0))
+        return out
 
     def level(self) -> Column:
         """The linear predictor as a column over FEATURES, which stays in the JVM."""
@@ -277,23 +330,39 @@ class OrdinalModel:
         return out.cast("int")
 
 
-def fit_model(feats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Model of at most ``sample`` graded texts. Raises ``ValueError`` where none of enough words is graded."""
-    graded = feats.where(F.col("words") >= LEAST_WORDS).join(consensus(labels), "doc_id")
-    rows = hashed_sample(graded, ["doc_id"], sample).select("doc_id", *FEATURES, "band").toArrow().sort_by("doc_id")
-    if not rows.num_rows:
+def fit_model(feats: DataFrame, labels: DataFrame) -> OrdinalModel:
+    """Model of all graded texts of enough words. Raises ``ValueError`` where there is none.
+
+    Each Newton step is a pass over the stored features of these texts, in which a task sends the sums over its rows.
+    """
+    graded = materialize(feats.where(F.col("words") >= LEAST_WORDS).join(consensus(labels), "doc_id").select(*FEATURES, "band"))
+    shares = [F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("band") - k))) for k in range(1, BANDS)]
+    n, *of = graded.agg(F.count("*"), *map(F.avg, FEATURES), *map(F.stddev_pop, FEATURES), *shares).first()
+    if not n:
         raise ValueError("no graded text")
-    x = np.stack([np.asarray(rows.column(f)) for f in FEATURES], 1)
-    return OrdinalModel.fit(x, np.asarray(rows.column("band")))
+    d = len(FEATURES)
+
+    def derivatives(m: OrdinalModel) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((d + BANDS, d + BANDS - 1))
+            for b in batches:
+                c = [np.asarray(x) for x in b.columns]
+                total += m.derivatives(np.stack(c[:d], 1), c[d])
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["sums"])
+
+        rows = graded.mapInArrow(run, "sums array<double>").toArrow().column("sums")
+        return np.asarray(rows.combine_chunks().flatten()).reshape(-1, d + BANDS, d + BANDS - 1).sum(0)
+
+    return OrdinalModel.solve(n, *np.split(np.array(of, float), [d, 2 * d]), derivatives)
 
 
-def reading_bands(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", sample: int = SAMPLE) -> DataFrame:
+def reading_bands(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
     """doc_id, lang, words, english, level, band of each row; level and band are null below LEAST_WORDS words.
 
     ``english``: the text shows to be English. The column ``lang`` is kept as it is.
     """
     feats = materialize(document_features(docs, doc_id, text, lang))
-    model = fit_model(feats, labels, sample)
+    model = fit_model(feats, labels)
     enough = F.col("words") >= LEAST_WORDS
     level = F.when(enough, model.level())
     return feats.select("doc_id", "lang", "words", (F.col("seen") == "en").alias("english"), level.alias("level"), F.when(enough, model.band(model.level())).alias("band"))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigrove.llm import reading as R
@@ -110,3 +111,31 @@ def test_hashed_sample(spark):
     a = {r.id for r in hashed_sample(df, ["id"], 500).collect()}
     assert 350 < len(a) <= 500 and a == {r.id for r in hashed_sample(df.repartition(7), ["id"], 500).collect()}
     assert hashed_sample(df, ["id"], 20_000).count() == 10_000
+
+
+def test_trigrams_of_every_english_text_are_counted(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.randint(1, 6)))
+    rows = [f"The {word()} of {word()}, and {word()}." for _ in range(24_000)] + ["The end of the line."] * 300 + ["le la les des", "12 of", "", None]
+    counted = []
+    fit = R.English.fit
+    monkeypatch.setattr(R.English, "fit", staticmethod(lambda c: counted.append(c.copy()) or fit(c)))
+    monkeypatch.setattr(R, "HELD", 5_000, raising=False)
+    R.document_features(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").repartition(6))
+    english = [t for t in rows if t and "of" in t.split()]
+    want = np.bincount(np.concatenate([R.trigrams(R.letter_codes(t)) for t in english]), minlength=R.LETTERS**3)
+    assert len(counted) == 1 and (counted[0] == want).all()
+
+
+def test_every_graded_text_is_fitted(spark):
+    rng = np.random.default_rng(2)
+    n = 24_000
+    x = rng.normal(size=(n, len(R.FEATURES))) * np.arange(1, len(R.FEATURES) + 1) + 5
+    y = np.stack([1 + ((x[:, 0] - x[:, 3] / 4 + rng.logistic(size=n))[:, None] > np.array([0, 2, 5, 7])).sum(1) for _ in range(2)], 1)
+    ids = pa.array(range(n))
+    feats = spark.createDataFrame(pa.table({"doc_id": ids, "words": pa.array([R.LEAST_WORDS] * n)} | {f: x[:, i] for i, f in enumerate(R.FEATURES)}))
+    labels = spark.createDataFrame(pa.table({"doc_id": pa.concat_arrays([ids, ids]), "rater": ["a"] * n + ["b"] * n, "band": np.concatenate([y[:, 0], y[:, 1]])}))
+    short = feats.limit(50).selectExpr("doc_id", "0L AS words", *[f"1e6 AS {f}" for f in R.FEATURES])
+    got, want = R.fit_model(feats.unionByName(short), labels), R.OrdinalModel.fit(x, y.mean(1))
+    for a, b in ((got.mean, want.mean), (got.scale, want.scale), (got.weights, want.weights), (got.cuts, want.cuts)):
+        assert np.allclose(a, b, rtol=1e-7, atol=1e-7)
