@@ -30,6 +30,8 @@ LEAST_MEAN = 1e-30
 #: Share of documents from which on a term's model is broadcast, and the most models that are: where more terms are so common, only commoner ones.
 HEAD_SHARE = 0.001
 HEAD_ROWS = 200_000
+#: Terms that a task gathers before it sends their documents on.
+FLUSH = 50_000
 
 
 def _counts(text: str) -> Counter[str]:
@@ -41,20 +43,25 @@ def _counts(text: str) -> Counter[str]:
 
 
 def document_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, terms: the distinct terms of each document with their counts, an empty array for null and empty texts."""
+    """doc_id, terms: the distinct terms of each document with their counts, an empty array for null and empty texts.
+
+    A task holds the terms of one text more than FLUSH at most, however many texts a batch has and however long they are.
+    """
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, tokens, tfs = [0], [], []
-            for t in b.column(1).to_pylist():
-                if t:
-                    c = _counts(t)
+            first, at, tokens, tfs = 0, [0], [], []
+            for k, t in enumerate(b.column(1), 1):
+                if text := t.as_py():
+                    c = _counts(text)
                     tokens += c
                     tfs += c.values()
                 at.append(len(tokens))
-            terms = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(tfs, pa.int32())], ["token", "tf"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at, pa.int32()), terms)], ["doc_id", "terms"])
+                if len(tokens) > FLUSH or k == b.num_rows:
+                    terms = pa.StructArray.from_arrays([pa.array(tokens, pa.string()), pa.array(tfs, pa.int32())], ["token", "tf"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, k - first), pa.ListArray.from_arrays(pa.array(at, pa.int32()), terms)], ["doc_id", "terms"])
+                    first, at, tokens, tfs = k, [0], [], []
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, terms array<struct<token:string,tf:int>>")
 

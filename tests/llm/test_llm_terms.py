@@ -2,6 +2,7 @@ from collections import Counter
 from math import exp, factorial, log
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexigrove.functions.text import tokenize
@@ -115,3 +116,16 @@ def test_heaviest_terms_carry_their_posterior(docs):
     assert top and all(score[r.doc_id, r.token] == r.elite for r in top)
     a = s.agreement().head()
     assert a.documents == len(top) + 1 and 0 <= a.same <= a.documents and 0 <= a.least_elite <= a.mean_elite <= 1
+
+
+def test_a_batch_of_many_terms_is_sent_on_in_parts(docs, monkeypatch):
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    texts = [None, "", *(" ".join(f"w{k}x{i}" for i in range(400)) for k in range(1_500)), "the of", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    at, most = 0, 0
+    for part in D.document_terms(docs)(iter([batch, batch.slice(0, 0)])):
+        for r in part.to_pylist():
+            assert r["doc_id"] == at and {x["token"]: x["tf"] for x in r["terms"]} == Counter(tokenize(texts[at]))
+            at += 1
+        most = max(most, len(part.column(1).flatten()))
+    assert at == len(texts) and most <= 50_400
